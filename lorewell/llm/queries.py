@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import garbled
+from lorewell.llm import garbled, sentences
 from lorewell.session import table
 
 
@@ -34,5 +34,12 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _garbled(spark, sf_dir).select("src_table", "record_id", "restored", "pair")
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sentences as code point spans."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = spark.sparkContext.broadcast(sentences.corpus_table(documents))
+    return sentences.split_documents(documents, counts)
+
+
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p9_found": p9_found}
 SQL: dict[str, str] = {}
