@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +25,21 @@ def build_session(master: str = "local[*]", app: str = "lorewell", **conf: str)
     return builder.config(map=defaults | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors' Python this package, once a context."""
+    context = spark.sparkContext
+    if getattr(context, "_lorewell_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="lorewell-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/lorewell", "zip", here.parent, here.name))
+    context._lorewell_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
