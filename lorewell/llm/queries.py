@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import garbled, sentences
+from lorewell.llm import conversations, garbled, history, sentences
 from lorewell.session import table
 
 
@@ -34,6 +34,31 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _garbled(spark, sf_dir).select("src_table", "record_id", "restored", "pair")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that repeat a message which arrived before, with its first arrived row; the runs come in eight batches."""
+    messages = table(spark, sf_dir, "messages")
+    broken = conversations.broken_channels(messages, table(spark, sf_dir, "users"))
+    runs = sorted(r[0] for r in messages.select("run_id").distinct().collect() if r[0] is not None)  # one row a run
+    step = max(1, -(-len(runs) // 8))
+    batches = [runs[i : i + step] for i in range(0, len(runs), step)]
+    counts = spark.sparkContext.broadcast(garbled.fit_letters(messages.select("text")))
+    sound = messages.join(broken, "channel_id", "left_anti")
+    return history.repeats(sound, counts, batches)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels that are not a conversation."""
+    _, verdicts = conversations.rebuild(table(spark, sf_dir, "messages"), table(spark, sf_dir, "users"), table(spark, sf_dir, "channels"))
+    return verdicts.where("verdict IS NOT NULL").select("channel_id")
+
+
+def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of all conversations, with their trees and roles."""
+    names = ("messages", "users", "people", "channels", "message_replied_to")
+    messages, users, people, channels, replies = (table(spark, sf_dir, n) for n in names)
+    return conversations.turns(messages, users, people, channels, replies)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sentences as code point spans."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,5 +66,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_documents(documents, counts)
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p9_found": p9_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns, "p9_found": p9_found}
+SQL: dict[str, str] = {
+    # \\x{...} spelt out for RE2: white space, controls, format characters and blanks that are letters or marks by class
+    "p5_found": r"""
+WITH m AS (SELECT channel_id, sender_id,
+  sender_id IS NULL OR sender_id NOT IN (SELECT id FROM users) OR timestamp IS NULL OR timestamp < 1577836800000 OR timestamp >= 1798761600000 AS fault,
+  coalesce(is_unsent, 0) = 0 AND coalesce(regexp_matches(text, '[^\s\pZ\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{2800}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0100}-\x{E01EF}]'), false) AS content
+  FROM messages WHERE channel_id IS NOT NULL),
+s AS (SELECT channel_id, bool_or(fault) AS broken, count(DISTINCT CASE WHEN content THEN sender_id END) AS speakers FROM m GROUP BY 1)
+SELECT channel_id FROM s WHERE broken OR speakers < 2
+UNION SELECT id FROM channels WHERE id NOT IN (SELECT channel_id FROM s)""",
+}
