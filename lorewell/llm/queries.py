@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import conversations, garbled, history, sentences
+from lorewell.llm import conversations, garbled, history, residue, sentences
 from lorewell.session import table
 
 
@@ -59,6 +59,22 @@ def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.turns(messages, users, people, channels, replies)
 
 
+def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "messages").select("row_id", F.col("platform").alias("host"), "text")
+    counts = spark.sparkContext.broadcast(garbled.fit_letters(messages.select("text")))
+    return residue.judged(messages.where(F.col("text").isNotNull()), counts)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are template residue, filler, error pages or script notices."""
+    return _residue(spark, sf_dir).select("row_id")
+
+
+def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows have which kind of evidence."""
+    return _residue(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("rows"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sentences as code point spans."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,7 +82,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_documents(documents, counts)
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_kinds": p6_kinds, "p9_found": p9_found}
 SQL: dict[str, str] = {
     # \\x{...} spelt out for RE2: white space, controls, format characters and blanks that are letters or marks by class
     "p5_found": r"""
