@@ -40,7 +40,8 @@ from lorewell.llm.garbled import LetterModel, Restorer
 from lorewell.llm.graph import components
 from lorewell.session import scratch_path
 
-SHINGLE, WINDOW = 6, 12  # characters of a fingerprint, and fingerprints of which the least is kept
+SHINGLE, WINDOW = 2, 12  # words of a fingerprint, and fingerprints of which the least is kept
+LONG = 12  # letters from which a run without spaces counts as several words
 NEAR_MS, HOUR_MS, DAY_MS, MINUTE_MS = 2_000, 3_600_000, 86_400_000, 60_000
 BY_ID, BY_SOURCE, BY_HOUR, BY_CONTENT = range(4)
 
@@ -85,16 +86,20 @@ class Normaliser:
         return words, damaged
 
 
+@lru_cache(maxsize=200_000)
+def _hash(unit: str) -> int:
+    return xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"))
+
+
 def winnowed(words: str) -> list[int]:
-    """Fingerprints of a normalised text: its numbers, and the least shingle hash of every window."""
-    out = {xxhash.xxh64_intdigest(" ".join(t for t in words.split() if t.isdigit()), seed=1)}
-    s = words.replace(" ", "")
-    n = len(s) - SHINGLE + 1
-    if n > 0:
-        raw = s.encode("utf-32-le", "surrogatepass")
-        hashes = [xxhash.xxh64_intdigest(raw[4 * i : 4 * (i + SHINGLE)]) for i in range(n)]
-        for i in range(max(1, n - WINDOW + 1)):
-            out.add(min(hashes[i : i + WINDOW]))
+    """Fingerprints of a normalised text: its numbers, how it begins, and the least shingle hash of every window."""
+    units = words.split()
+    out = {_hash("#" + " ".join(u for u in units if u.isdigit())), _hash("^" + words.replace(" ", "")[:6])}
+    if any(len(u) > LONG for u in units):  # scripts without spaces
+        units = [u[i : i + 4] for u in units for i in range(0, max(1, len(u) - 3), 1 if len(u) > LONG else LONG)]
+    hashes = [_hash(a) * 31 + _hash(b) & 0xFFFFFFFFFFFFFFFF for a, b in zip(units, units[1:])]
+    for i in range(0, max(1, len(hashes) - WINDOW + 1)) if hashes else ():
+        out.add(min(hashes[i : i + WINDOW]))
     return sorted(x - (1 << 64) if x >> 63 else x for x in out)
 
 
@@ -160,17 +165,49 @@ def same_text(a: str, b: str, damaged: bool = False) -> bool:
 
 
 def fingerprinted(rows: DataFrame, counts) -> DataFrame:
-    """Rows with their words, damage and winnowed fingerprints. ``counts``: the letter model's broadcast."""
+    """Rows with their words and keys. ``counts``: the letter model's broadcast.
 
-    @F.pandas_udf("struct<words:string,damaged:boolean,fps:array<bigint>>")
-    def apply(texts: pd.Series) -> pd.DataFrame:
-        norm = _normaliser(counts)
-        codes, distinct = pd.factorize(texts, use_na_sentinel=True)
-        done = [norm(t) for t in distinct] + [("", False)]
-        prints = [winnowed(w) for w, _ in done]
-        return pd.DataFrame({"words": [done[c][0] for c in codes], "damaged": [done[c][1] for c in codes], "fps": [prints[c] for c in codes]})
+    Exact copies in a partition of the input get ``copy_of`` (the row_id of the first seen) and no keys, so of a
+    message that came very often only one row a partition is shuffled by key.
+    """
 
-    return rows.withColumn("f", apply(F.col("text"))).select("*", "f.words", "f.damaged", "f.fps").drop("f")
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        norm = _normaliser(counts)
+        seen: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            copy_of = [seen.setdefault(k, r) for k, r in zip(zip(batch["h"].tolist(), batch["g"].tolist()), batch["row_id"].tolist())]
+            batch["copy_of"] = pd.array([None if c == r else c for c, r in zip(copy_of, batch["row_id"].tolist())], dtype="Int64")
+            codes, distinct = pd.factorize(batch["text"], use_na_sentinel=True)
+            done = [norm(t) for t in distinct] + [("", False)]
+            prints = [winnowed(w) for w, _ in done]
+            batch["words"] = [done[c][0] for c in codes]
+            batch["damaged"] = [done[c][1] for c in codes]
+            batch["fps"] = [prints[c] for c in codes]
+            yield batch.drop(columns=["text", "h", "g"])
+
+    ids = ["channel_id", "sender_id", "message_id", "source_key", "ts"]
+    every = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in [*ids, "text"]]
+    hashed = rows.select("row_id", F.col("run_id").cast("bigint").alias("run_id"), F.xxhash64("channel_id", "sender_id").alias("scope"), "ts",
+                         F.when(F.col("message_id").isNotNull(), F.xxhash64("message_id")).alias("m"), F.when(F.col("source_key").isNotNull(), F.xxhash64("source_key")).alias("s"), F.xxhash64("text").alias("t"),
+                         F.xxhash64(*every).alias("h"), F.xxhash64(F.lit(7), *reversed(every)).alias("g"), "text")
+    out = hashed.mapInPandas(apply, "row_id bigint, run_id bigint, scope bigint, ts bigint, m bigint, s bigint, t bigint, copy_of bigint, words string, damaged boolean, fps array<bigint>")
+    return out.select("row_id", "run_id", "copy_of", "ts", F.when(F.col("ts").isNotNull(), F.col("t").bitwiseAND(0x7FFFFFFF).cast("int")).alias("th"), "words", "damaged", F.when(F.col("copy_of").isNull(), _keys()).alias("keys"))
+
+
+def _keys():
+    """Every key of a row; the two lowest bits of a key say what it is of."""
+    tag = lambda h, kind: h.bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(kind).cast("bigint"))
+    none = F.array().cast("array<bigint>")
+    minute = F.floor(F.col("ts") / MINUTE_MS)
+    edge = F.pmod(F.col("ts"), F.lit(MINUTE_MS)) < NEAR_MS
+    return F.array_distinct(F.concat(
+        F.when(F.col("m").isNotNull(), F.array(tag(F.xxhash64("scope", F.lit(0), "m"), BY_ID))).otherwise(none),
+        F.when(F.col("s").isNotNull(), F.array(tag(F.xxhash64("scope", F.lit(1), "s"), BY_SOURCE))).otherwise(none),
+        F.when(F.col("ts").isNotNull(), F.array(tag(F.xxhash64("scope", F.lit(2), F.pmod("ts", F.lit(HOUR_MS)), "t"), BY_HOUR))).otherwise(none),
+        F.when(F.col("ts").isNotNull(), F.transform("fps", lambda f: tag(F.xxhash64("scope", minute, f), BY_CONTENT))).otherwise(none),
+        # near the start of a minute a row also stands in the minute before
+        F.when(edge, F.transform("fps", lambda f: tag(F.xxhash64("scope", minute - 1, f), BY_CONTENT))).otherwise(none),
+    ))
 
 
 _NORM: dict[int, Normaliser] = {}
@@ -184,21 +221,9 @@ def _normaliser(counts) -> Normaliser:
     return _NORM[key]
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """(key, run_id, row_id, ts): every key of every row; the two lowest bits of a key say what it is of."""
-    scope = [F.col("channel_id"), F.col("sender_id")]
-    tag = lambda h, kind: h.bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(kind).cast("bigint"))
-    minute = F.floor(F.col("ts") / MINUTE_MS)
-    edge = F.pmod(F.col("ts"), F.lit(MINUTE_MS)) < NEAR_MS
-    keys = F.concat(
-        F.when(F.col("message_id").isNotNull(), F.array(tag(F.xxhash64(*scope, F.lit("id"), "message_id"), BY_ID))).otherwise(F.array().cast("array<bigint>")),
-        F.when(F.col("source_key").isNotNull(), F.array(tag(F.xxhash64(*scope, F.lit("source"), "source_key"), BY_SOURCE))).otherwise(F.array().cast("array<bigint>")),
-        F.when(F.col("ts").isNotNull() & F.col("text").isNotNull(), F.array(tag(F.xxhash64(*scope, F.lit("hour"), F.pmod("ts", F.lit(HOUR_MS)), "text"), BY_HOUR))).otherwise(F.array().cast("array<bigint>")),
-        F.when(F.col("ts").isNotNull(), F.transform("fps", lambda f: tag(F.xxhash64(*scope, minute, f), BY_CONTENT))).otherwise(F.array().cast("array<bigint>")),
-        # near the start of a minute a row also stands in the minute before
-        F.when(edge, F.transform("fps", lambda f: tag(F.xxhash64(*scope, minute - 1, f), BY_CONTENT))).otherwise(F.array().cast("array<bigint>")),
-    )
-    return rows.select(F.explode(F.array_distinct(keys)).alias("key"), F.col("run_id").cast("bigint").alias("run_id"), "row_id", F.coalesce("ts", F.lit(0)).alias("ts"))
+def keyed(prints: DataFrame) -> DataFrame:
+    """(key, row_id, ts, th): every key of every row that is no copy; th is a short hash of the text."""
+    return prints.where("copy_of IS NULL").select(F.explode("keys").alias("key"), "row_id", F.coalesce("ts", F.lit(0)).alias("ts"), F.coalesce("th", F.lit(0)).alias("th"))
 
 
 # --- Bloom filters and store
@@ -237,20 +262,21 @@ class History:
         self.spark, self.root, self.parts, self.batches = spark, root, parts, 0
 
     def link(self, keys: DataFrame) -> DataFrame:
-        """Links of one batch, within it and with history: (a_run, a_row, b_run, b_row, kind). Adds the batch."""
+        """Links of one batch, within it and with history: (a_row, b_row, kind). Adds the batch."""
         root, parts, batch = self.root, self.parts, self.batches
         self.batches += 1
-        placed = keys.withColumn("part", F.pmod(F.shiftright("key", 2), F.lit(parts)).cast("int"))
+        part = F.pmod(F.shiftright("key", 2), F.lit(parts))
 
         def apply(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             whole = list(chunks)
             if not whole:
                 return
             df = pd.concat(whole, ignore_index=True)
-            for part, own in df.groupby("part"):
-                yield from _linked_part(root, int(part), batch, own)
+            of = (df["key"].to_numpy() >> 2) % parts
+            for p in np.unique(of):
+                yield from _linked_part(root, int(p), batch, df[of == p])
 
-        return placed.repartition(min(parts, 4096), "part").mapInPandas(apply, "a_run bigint, a_row bigint, b_run bigint, b_row bigint, kind int")
+        return keys.repartition(min(parts, 4096), part).mapInPandas(apply, "a_row bigint, b_row bigint, kind int")
 
 
 def _filesystem(root: str) -> tuple[pafs.FileSystem, str]:
@@ -268,7 +294,7 @@ def _put(files: pafs.FileSystem, path: str, write) -> None:
 
 def _linked_part(root: str, part: int, batch: int, own: pd.DataFrame) -> Iterator[pd.DataFrame]:
     files, base = _filesystem(root)
-    own = own.drop_duplicates(["key", "run_id", "row_id"])
+    own = own.drop_duplicates(["key", "row_id"])
     keys = np.sort(own["key"].unique())
     known = np.zeros(len(keys), dtype=bool)
     found = []
@@ -286,43 +312,44 @@ def _linked_part(root: str, part: int, batch: int, own: pd.DataFrame) -> Iterato
             found.append(store.filter(pa.array(wanted[at] == k)).to_pandas())
     times = own.groupby("key")["row_id"].transform("size").to_numpy()
     positive = own[(times > 1) | known[np.searchsorted(keys, own["key"].to_numpy())]]
-    both = pd.concat([positive.assign(new=True), *[x.assign(new=False) for x in found]], ignore_index=True)
-    yield _links(both)
-    ordered = own.sort_values("key")[["key", "run_id", "row_id", "ts"]]
-    _put(files, f"{base}/store/part={part}/{batch}.parquet", lambda out: pq.write_table(pa.Table.from_pandas(ordered, preserve_index=False), out, row_group_size=65_536))
+    yield _links(pd.concat([x for x in (positive, *found) if len(x)] or [positive], ignore_index=True))
+    ordered = own.sort_values("key")[["key", "row_id", "ts", "th"]]
+    _put(files, f"{base}/store/part={part}/{batch}.parquet", lambda out: pq.write_table(pa.Table.from_pandas(ordered, preserve_index=False), out, row_group_size=65_536, compression="zstd", use_dictionary=False, column_encoding={c: "DELTA_BINARY_PACKED" for c in ordered.columns}))
     _put(files, f"{base}/bloom/part={part}/{batch}.bin", lambda out: out.write(bloom_of(keys).tobytes()))
 
 
 def _links(both: pd.DataFrame) -> pd.DataFrame:
     """Links among rows that share a key: by id to the first, by hour and content to those near enough in time."""
-    out: list[tuple[int, int, int, int, int]] = []
+    out: list[tuple[int, int, int]] = []
     if len(both):
         kinds = both["key"].to_numpy() & 3
         for kind in range(4):
-            own = both[kinds == kind].sort_values(["key", "run_id", "row_id"] if kind < BY_HOUR else ["key", "ts", "run_id", "row_id"])
-            key, run, row, ts, new = (own[c].to_numpy() for c in ("key", "run_id", "row_id", "ts", "new"))
+            own = both[kinds == kind].sort_values(["key", "row_id"] if kind < BY_HOUR else ["key", "ts", "th", "row_id"])
+            key, row, ts, th = (own[c].tolist() for c in ("key", "row_id", "ts", "th"))
+            heads: list[int] = []  # of a content key, the first row of each moment and text
             first = 0
-            for i in range(1, len(own)):
-                if key[i] != key[first]:
-                    first = i
+            for i in range(len(own)):
+                if i == 0 or key[i] != key[first]:
+                    first, heads = i, [i]
                     continue
                 if kind < BY_HOUR:
-                    if new[i] or new[first]:
-                        out.append((run[first], row[first], run[i], row[i], kind))
+                    out.append((row[first], row[i], kind))
                 elif kind == BY_HOUR:
                     if ts[i] - ts[i - 1] < DAY_MS:
-                        out.append((run[i - 1], row[i - 1], run[i], row[i], kind))
+                        out.append((row[i - 1], row[i], kind))
+                elif ts[i] == ts[heads[-1]] and th[i] == th[heads[-1]]:
+                    out.append((row[heads[-1]], row[i], kind))
                 else:
-                    j = i - 1
-                    while j >= first and ts[i] - ts[j] <= NEAR_MS:
-                        if new[i] or new[j]:
-                            out.append((run[j], row[j], run[i], row[i], kind))
-                        j -= 1
-    return pd.DataFrame(out, columns=["a_run", "a_row", "b_run", "b_row", "kind"])
+                    for j in reversed(heads):
+                        if ts[i] - ts[j] > NEAR_MS:
+                            break
+                        out.append((row[j], row[i], kind))
+                    heads.append(i)
+    return pd.DataFrame(out, columns=["a_row", "b_row", "kind"])
 
 
 def verified(links: DataFrame, prints: DataFrame) -> DataFrame:
-    """Content links whose texts say the same, and all other links, as (a, b) of struct<run_id, row_id>."""
+    """Content links whose texts say the same, and all other links, as (a, b) of row_ids."""
 
     @F.pandas_udf("boolean")
     def same(a: pd.Series, b: pd.Series, damaged: pd.Series) -> pd.Series:
@@ -334,14 +361,14 @@ def verified(links: DataFrame, prints: DataFrame) -> DataFrame:
             out.append(memo[x])
         return pd.Series(out, dtype=bool)
 
-    node = lambda side: F.struct(F.col(f"{side}_run").alias("run_id"), F.col(f"{side}_row").alias("row_id")).alias(side)
-    certain = links.where(F.col("kind") < BY_CONTENT).select(node("a"), node("b"))
-    pairs = links.where(F.col("kind") == BY_CONTENT).select("a_run", "a_row", "b_run", "b_row").distinct()
-    words = prints.select("row_id", "words", "damaged")
-    pairs = pairs.join(words.toDF("a_row", "a_words", "a_damaged"), "a_row").join(words.toDF("b_row", "b_words", "b_damaged"), "b_row")
+    certain = links.where(F.col("kind") < BY_CONTENT).select(F.col("a_row").alias("a"), F.col("b_row").alias("b"))
+    pairs = links.where(F.col("kind") == BY_CONTENT).select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b")).distinct()
+    pairs = pairs.join(certain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    words = prints.where("copy_of IS NULL").select("row_id", "words", "damaged")
+    pairs = pairs.join(words.toDF("a", "a_words", "a_damaged"), "a").join(words.toDF("b", "b_words", "b_damaged"), "b")
     equal = pairs.where(F.col("a_words") == F.col("b_words"))
     near = pairs.where(F.col("a_words") != F.col("b_words")).where(same("a_words", "b_words", F.col("a_damaged") | F.col("b_damaged")))
-    return certain.unionByName(equal.select(node("a"), node("b"))).unionByName(near.select(node("a"), node("b")))
+    return certain.unionByName(equal.select("a", "b")).unionByName(near.select("a", "b"))
 
 
 def repeats(messages: DataFrame, counts, batches: list[list[int]], parts: int = 32) -> DataFrame:
@@ -352,24 +379,19 @@ def repeats(messages: DataFrame, counts, batches: list[list[int]], parts: int =
     """
     spark = messages.sparkSession
     root = scratch_path(spark, "history")
-    rows = messages.select("row_id", "run_id", "channel_id", "sender_id", "message_id", "source_key", F.col("timestamp").alias("ts"), "text").where("channel_id IS NOT NULL AND sender_id IS NOT NULL AND run_id IS NOT NULL")
-    # exact copies: the first row stands for all
-    same = ["channel_id", "sender_id", "message_id", "source_key", "ts", "text"]
-    arrival = F.struct(F.col("run_id").cast("bigint").alias("run_id"), "row_id")
-    rows = rows.withColumn("h", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in same]))
-    head = rows.groupBy("h", *same).agg(F.min(arrival).alias("first"), F.count("*").alias("n"))
-    head = head.select("first.run_id", "first.row_id", "h", *same, "n")
+    columns = ["row_id", "run_id", "channel_id", "sender_id", "message_id", "source_key", F.col("timestamp").alias("ts"), "text"]
+    rows = messages.select(*columns).where("channel_id IS NOT NULL AND sender_id IS NOT NULL AND run_id IS NOT NULL")
     prints_path = f"{root}/prints"
-    fingerprinted(head, counts).write.parquet(prints_path)
+    fingerprinted(rows, counts).write.parquet(prints_path)
     prints = spark.read.parquet(prints_path)
-    group = ["h", "channel_id", "sender_id"]
-    copied = prints.where("n > 1").select(F.struct("run_id", "row_id").alias("a"), *group)
-    copies = rows.select(arrival.alias("b"), *group).join(copied, group).where("a <> b").select("a", "b")
     history = History(spark, f"{root}/state", parts)
     links_path = f"{root}/links"
     for runs in batches:
-        own = prints.where(F.col("run_id").isin(runs))
-        history.link(keyed(own)).write.mode("append").parquet(links_path)
-    links = spark.read.schema("a_run bigint, a_row bigint, b_run bigint, b_row bigint, kind int").parquet(links_path)
-    found = components(verified(links, prints).unionByName(copies))
-    return found.where("node <> root").select(F.col("root.row_id").alias("row_id_a"), F.col("node.row_id").alias("row_id_b"))
+        history.link(keyed(prints.where(F.col("run_id").isin(runs)))).write.mode("append").parquet(links_path)
+    links = spark.read.schema("a_row bigint, b_row bigint, kind int").parquet(links_path) if batches else spark.createDataFrame([], "a_row bigint, b_row bigint, kind int")
+    copies = prints.where("copy_of IS NOT NULL").select(F.col("copy_of").alias("a"), F.col("row_id").alias("b"))
+    groups = components(verified(links, prints).unionByName(copies))
+    # the first arrived row of each group: run_id, then row_id
+    groups = groups.join(prints.select(F.col("row_id").alias("node"), "run_id"), "node")
+    first = groups.groupBy("root").agg(F.min(F.struct("run_id", "node")).alias("first"))
+    return groups.join(first, "root").where(F.col("first.node") != F.col("node")).select(F.col("first.node").alias("row_id_a"), F.col("node").alias("row_id_b"))
