@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import conversations, garbled, history, residue, sentences
+from lorewell.llm import conversations, garbled, history, mixing, packing, residue, sentences
 from lorewell.session import table
 
 
@@ -75,6 +75,29 @@ def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _residue(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("rows"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies, for every capacity."""
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and fill of every capacity."""
+    lying = p7_containers(spark, sf_dir).groupBy("spec_name").agg(F.countDistinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
+    filled = F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))
+    return lying.join(table(spark, sf_dir, "pack_specs"), "spec_name").select("spec_name", "capacity_tokens", "containers", "tokens", filled.alias("fill"))
+
+
+def p8_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn for every mix, and how often."""
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares really reached."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mixed(table(spark, sf_dir, "documents"), targets), targets)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sentences as code point spans."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,7 +105,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_documents(documents, counts)
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_kinds": p6_kinds, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_draws": p8_draws, "p8_shares": p8_shares, "p9_found": p9_found}
 SQL: dict[str, str] = {
     # \\x{...} spelt out for RE2: white space, controls, format characters and blanks that are letters or marks by class
     "p5_found": r"""
