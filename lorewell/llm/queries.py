@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import conversations, garbled, history, mixing, packing, residue, sentences
+from lorewell.llm import conversations, entities, garbled, history, mixing, packing, residue, sentences
 from lorewell.session import table
 
 
@@ -34,6 +34,23 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _garbled(spark, sf_dir).select("src_table", "record_id", "restored", "pair")
 
 
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "users")
+    names = users.select(F.col("name").alias("text")).unionByName(users.select(F.col("display_name").alias("text")))
+    counts = spark.sparkContext.broadcast(garbled.fit_letters(names))
+    return entities.linked(entities.matched(users, counts), users)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of accounts on different platforms that belong to one person."""
+    return _accounts(spark, sf_dir).select("user_id_a", "user_id_b")
+
+
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with their confidence."""
+    return _accounts(spark, sf_dir).select("user_id_a", "user_id_b", F.round("confidence", 6).alias("confidence"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that repeat a message which arrived before, with its first arrived row; the runs come in eight batches."""
     messages = table(spark, sf_dir, "messages")
@@ -105,7 +122,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_documents(documents, counts)
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_draws": p8_draws, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_draws": p8_draws, "p8_shares": p8_shares, "p9_found": p9_found}
 SQL: dict[str, str] = {
     # \\x{...} spelt out for RE2: white space, controls, format characters and blanks that are letters or marks by class
     "p5_found": r"""
