@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"  # a parameter of every operator that counts tokens
+CHUNK = 128  # texts encoded at a time: encodings are many times larger than their texts
 _LOADED: dict[str, object] = {}
 
 
 def _tokenizer(path: str):
     if path not in _LOADED:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the executor's tasks share its cores already
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
@@ -26,8 +30,11 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        encoded = _tokenizer(path).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-        return pd.Series([len(e.ids) for e in encoded], dtype="int64")
+        tokenizer, sizes = _tokenizer(path), []
+        for i in range(0, len(texts), CHUNK):
+            chunk = [t or "" for t in texts.iloc[i : i + CHUNK]]
+            sizes += [len(e) for e in tokenizer.encode_batch_fast(chunk, add_special_tokens=False)]
+        return pd.Series(sizes, dtype="int64")
 
     return count(text)
 
