@@ -31,7 +31,7 @@ def minted(*parts: Column) -> Column:
 
 def content_key(platform: str, thread: str, sender: str | None, ts: int | None, content, kind, share, uris: list[str]) -> str:
     """The key of a message from an export without ids: what it is, where, who and when, and a digest of what it says."""
-    digest = hashlib.sha1(json.dumps({"c": content, "k": kind, "s": share, "u": uris}, sort_keys=True).encode()).hexdigest()
+    digest = hashlib.sha1(json.dumps({"c": content, "k": kind, "s": share, "u": uris}, sort_keys=True, ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
     return SEP.join([platform, thread, sender or "", "" if ts is None else str(ts), digest])
 
 
