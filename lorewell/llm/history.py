@@ -188,10 +188,10 @@ def fingerprinted(rows: DataFrame, counts) -> DataFrame:
     ids = ["channel_id", "sender_id", "message_id", "source_key", "ts"]
     every = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in [*ids, "text"]]
     hashed = rows.select("row_id", F.col("run_id").cast("bigint").alias("run_id"), F.xxhash64("channel_id", "sender_id").alias("scope"), "ts",
-                         F.when(F.col("message_id").isNotNull(), F.xxhash64("message_id")).alias("m"), F.when(F.col("source_key").isNotNull(), F.xxhash64("source_key")).alias("s"), F.xxhash64("text").alias("t"),
+                         F.when(F.col("message_id").isNotNull(), F.xxhash64("message_id")).alias("m"), F.when(F.col("source_key").isNotNull(), F.xxhash64("source_key")).alias("s"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("t"),
                          F.xxhash64(*every).alias("h"), F.xxhash64(F.lit(7), *reversed(every)).alias("g"), "text")
     out = hashed.mapInPandas(apply, "row_id bigint, run_id bigint, scope bigint, ts bigint, m bigint, s bigint, t bigint, copy_of bigint, words string, damaged boolean, fps array<bigint>")
-    return out.select("row_id", "run_id", "copy_of", "ts", F.when(F.col("ts").isNotNull(), F.col("t").bitwiseAND(0x7FFFFFFF).cast("int")).alias("th"), "words", "damaged", F.when(F.col("copy_of").isNull(), _keys()).alias("keys"))
+    return out.select("row_id", "run_id", "copy_of", "ts", F.col("t").bitwiseAND(0x7FFFFFFF).cast("int").alias("th"), "words", "damaged", F.when(F.col("copy_of").isNull(), _keys()).alias("keys"))
 
 
 def _keys():
@@ -203,7 +203,7 @@ def _keys():
     return F.array_distinct(F.concat(
         F.when(F.col("m").isNotNull(), F.array(tag(F.xxhash64("scope", F.lit(0), "m"), BY_ID))).otherwise(none),
         F.when(F.col("s").isNotNull(), F.array(tag(F.xxhash64("scope", F.lit(1), "s"), BY_SOURCE))).otherwise(none),
-        F.when(F.col("ts").isNotNull(), F.array(tag(F.xxhash64("scope", F.lit(2), F.pmod("ts", F.lit(HOUR_MS)), "t"), BY_HOUR))).otherwise(none),
+        F.when(F.col("ts").isNotNull() & F.col("t").isNotNull(), F.array(tag(F.xxhash64("scope", F.lit(2), F.pmod("ts", F.lit(HOUR_MS)), "t"), BY_HOUR))).otherwise(none),
         F.when(F.col("ts").isNotNull(), F.transform("fps", lambda f: tag(F.xxhash64("scope", minute, f), BY_CONTENT))).otherwise(none),
         # near the start of a minute a row also stands in the minute before
         F.when(edge, F.transform("fps", lambda f: tag(F.xxhash64("scope", minute - 1, f), BY_CONTENT))).otherwise(none),

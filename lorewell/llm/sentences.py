@@ -7,7 +7,7 @@ where the document has none or is at odds with itself, the counts over ALL docum
 a short list of common abbreviations does. The same holds for words that start with a capital: a small letter behind an
 abbreviation that may close a sentence is a new sentence if that word usually starts one.
 
-Counts: of every word form w, how often it has a period, a period with a small letter, a digit or a comma behind it, a
+Counts: of every word form w, in how many documents it has a period, a period with a small letter, a digit or a comma behind it, a
 period at the end of a paragraph, no period inside a line, and how often it starts a sentence. Only forms with at
 least one in ``RARITY`` of all words are kept, so the table sent to the executors never has more than ``RARITY`` rows.
 
@@ -113,7 +113,7 @@ def corpus_table(documents: DataFrame) -> dict[str, tuple[int, ...]]:
 
         for batch in batches:
             for text in batch["text"]:
-                total.update(word_counts(text))
+                total.update(word_counts(text).keys())  # in how many documents: one that repeats itself says no more
             if len(total) > 400_000:
                 yield flush()
         yield flush()
@@ -138,7 +138,7 @@ class Splitter:
         if d_inner and not d_end and not d_plain and (dot < 12 or inner > 0.3 * dot):
             return "closing" if end > 0.01 * dot or (dot < 12 and form in CLOSING) else "inner"
         if dot >= 12:
-            if end <= 0.005 * dot and (dot >= 40 or inner or form in INNER) and plain <= 4 * dot:
+            if end <= 0.005 * dot and (dot >= 40 or inner or form in INNER) and plain <= 4 * dot and not (form in CLOSING and dot < 400):
                 return "inner"
             if inner > 0.25 * dot and plain < dot:
                 return "closing"
