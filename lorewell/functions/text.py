@@ -159,3 +159,28 @@ def emoji_for(key: Column) -> Column:
         F.when(k == "", "?").when(code != "", drawn).when(named.isNotNull(), named)
         .when(k.rlike(r"^[\p{L}\p{N}]+$"), F.concat(F.lit(":"), k, F.lit(":"))).otherwise(k)
     )
+
+
+def links(text: Column) -> Column:
+    """The web links of a text, in order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"https?://[^\s<]+"), F.lit(0))
+
+
+def file_size(size: Column) -> Column:
+    """A size for reading: 0 B, 1.5 KB, 20 MB."""
+    step = F.least(F.floor(F.log2(F.greatest(size, F.lit(1))) / 10), F.lit(4))
+    value = size / F.pow(F.lit(1024.0), step)
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB")]), (step + 1).cast("int"))
+    shown = F.when((step == 0) | (value >= 10), F.format_string("%.0f", value)).otherwise(F.format_string("%.1f", value))
+    return F.concat(shown, F.lit(" "), unit)
+
+
+def avatar_document(url: Column) -> Column:
+    """The document id in a picture's address."""
+    return F.nullif(F.regexp_extract(url, r"/objects/([^/?\s]+)", 1), F.lit(""))
+
+
+def account_handle(mri: Column) -> Column:
+    """The part of an account id that people read."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(mri, r"^\d+:", ""), "^live:", ""), r"^\.+", ""), r"^cid\.", "")
+    return F.when(bare.startswith("unknown_user_"), F.concat(F.lit("Unknown account ("), F.substring(F.regexp_replace(bare, "^unknown_user_", ""), 1, 8), F.lit(")"))).otherwise(bare)

@@ -561,3 +561,41 @@ def events_hourly(load):
     """Events by type and hour: the batch form of the streaming window."""
     hour = F.date_trunc("hour", F.col("ts"))
     return load("events").groupBy("event_type", hour.cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("events"), F.round(F.sum("value"), 6).alias("total"))
+
+
+# --- reading helpers (T24, T25, D5, A17 top, N2, F5)
+
+
+@query(r"SELECT row_id, unnest(regexp_extract_all(coalesce(text, ''), 'https?://[^\s<]+')) AS link FROM messages")
+def text_links(load):
+    """The web links of every message."""
+    return load("messages").select("row_id", F.explode(text.links(F.col("text"))).alias("link"))
+
+
+@query("SELECT row_id, CAST((make_timestamp(timestamp * 1000) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Prague' AS DATE) AS day FROM messages WHERE timestamp IS NOT NULL")
+def local_days(load):
+    """Every message's calendar day in a viewer's time zone."""
+    return load("messages").where("timestamp IS NOT NULL").select("row_id", time.day(F.col("timestamp"), "Europe/Prague").alias("day"))
+
+
+@query("SELECT channel_id, sender_id, n AS messages, place FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY n DESC, sender_id) AS place FROM (SELECT channel_id, sender_id, count(*) AS n FROM messages WHERE sender_id IS NOT NULL GROUP BY 1, 2)) WHERE place <= 12")
+def top_senders(load):
+    """The twelve who write most in every thread."""
+    counts = load("messages").where("sender_id IS NOT NULL").groupBy("channel_id", "sender_id").agg(F.count("*").alias("messages"))
+    w = W.partitionBy("channel_id").orderBy(F.desc("messages"), "sender_id")
+    return counts.withColumn("place", F.row_number().over(w)).where("place <= 12")
+
+
+@query("SELECT month, messages FROM (SELECT strftime(make_timestamp((timestamp // 1000) * 1000000), '%Y-%m') AS month, count(*) AS messages FROM messages WHERE timestamp IS NOT NULL GROUP BY 1) ORDER BY messages DESC, month LIMIT 1")
+def peak_month(load):
+    """The month with most messages."""
+    m = load("messages").where("timestamp IS NOT NULL").groupBy(time.month(F.col("timestamp")).alias("month")).agg(F.count("*").alias("messages"))
+    return m.orderBy(F.desc("messages"), "month").limit(1)
+
+
+@query("SELECT m.message_id, m.row_id FROM messages m WHERE m.message_id IN (SELECT message_id FROM message_replied_to) AND m.message_id IN (SELECT replied_to_id FROM message_replied_to)")
+def replied_and_replying(load):
+    """Messages that reply and are replied to (semi-joins)."""
+    r = load("message_replied_to")
+    m = load("messages").select("message_id", "row_id")
+    return m.join(r.select("message_id"), "message_id", "left_semi").join(r.select(F.col("replied_to_id").alias("message_id")), "message_id", "left_semi")

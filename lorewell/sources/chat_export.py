@@ -116,7 +116,7 @@ def read_records(spark, source) -> DataFrame:
     from lorewell.sources.readers import register
 
     if source.path.is_dir():
-        text = spark.read.option("wholetext", True).text(str(source.path / INDEX)).select(F.col("value").alias("j"))
+        text = spark.read.text(str(source.path / INDEX), wholetext=True).select(F.col("value").alias("j"))
     else:
         register(spark)
         members = spark.read.format("tar_members").option("path", str(source.path)).option("pattern", rf"^{re.escape(INDEX)}$").load()
