@@ -118,7 +118,7 @@ class _Scan:
     def _rarity(self, word: str) -> float:
         x = self.rarity.get(word)
         if x is None:
-            if len(self.rarity) > 300_000:
+            if len(self.rarity) > 60_000:
                 self.rarity.clear()
             n = float(self.counts[self.crc(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)])
             x = self.rarity[word] = log((self.most + 1) / (n + 1))

@@ -38,6 +38,7 @@ ONE_BYTE_READ = ["latin-1", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r",
 #: Sets of several bytes a character: read as one-byte sets, and as what UTF-8 was read.
 WIDE = ["shift_jis", "gbk", "big5", "euc_kr", "euc_jp"]
 MAX_ROUNDS = 5
+MEMO = 60_000  # tokens and trigrams whose results a process keeps
 GAIN, GAIN_UTF8 = 1.2, 0.6  # nats a trigram that a restoration must gain without firm evidence
 
 _TOKEN = re.compile(r"[A-Za-z\u0080-\U0010ffff]*[\u0080-\U0010ffff][A-Za-z\u0080-\U0010ffff]*")
@@ -76,7 +77,7 @@ class LetterModel:
     def trigram(self, t: str) -> float:
         x = self._memo.get(t)
         if x is None:
-            if len(self._memo) > 500_000:
+            if len(self._memo) > MEMO:
                 self._memo.clear()
             x = self._memo[t] = float(self._log[zlib.crc32(t.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)])
         return x
@@ -278,7 +279,7 @@ class Restorer:
 
     def judge(self, token: str) -> tuple[str, str] | None:
         if token not in self._memo:
-            if len(self._memo) > 300_000:
+            if len(self._memo) > MEMO:
                 self._memo.clear()
             self._memo[token] = self._judge(token)
         return self._memo[token]
@@ -328,20 +329,22 @@ def fit_letters(texts: DataFrame) -> np.ndarray:
     return counts
 
 
-_LOCAL: dict[int, Restorer] = {}
+_LOCAL: list[Restorer] = []
+
+
+def local_restorer(table: np.ndarray) -> Restorer:
+    """The process's restorer for a letter table; only the last is kept."""
+    if not _LOCAL or _LOCAL[0].table is not table:
+        _LOCAL[:] = [Restorer(LetterModel(table))]
+        _LOCAL[0].table = table
+    return _LOCAL[0]
 
 
 def restored(text: Column, counts) -> Column:
     """struct<restored, pair>: ``pair`` is null where nothing is garbled. ``counts``: a broadcast of ``fit_letters``."""
-    key = id(counts)
-
     @F.pandas_udf("struct<restored:string,pair:string>")
     def apply(texts: pd.Series) -> pd.DataFrame:
-        table = counts.value
-        restorer = _LOCAL.get(key)
-        if restorer is None or restorer.table is not table:
-            restorer = _LOCAL[key] = Restorer(LetterModel(table))
-            restorer.table = table
+        restorer = local_restorer(counts.value)
         pairs = [restorer.restore(t) for t in texts]
         return pd.DataFrame({"restored": [p[0] for p in pairs], "pair": [p[1] for p in pairs]}, dtype=object)
 

@@ -36,7 +36,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm.garbled import LetterModel, Restorer
+from lorewell.llm.garbled import Restorer, local_restorer
 from lorewell.llm.graph import components
 from lorewell.session import scratch_path
 
@@ -52,7 +52,7 @@ _REMARK = regex.compile(r"(?<=\S\s)(?=(?:\([^()]{1,40}\)|\*\s?\p{L}+)\s*$)")  #
 _ADDED = "\x01"
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _folded(token: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", token.casefold()) if not unicodedata.combining(c)).translate(_PLAIN)
 
@@ -86,7 +86,7 @@ class Normaliser:
         return words, damaged
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _hash(unit: str) -> int:
     return xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"))
 
@@ -172,7 +172,7 @@ def fingerprinted(rows: DataFrame, counts) -> DataFrame:
     """
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        norm = _normaliser(counts)
+        norm = Normaliser(local_restorer(counts.value))
         seen: dict[tuple[int, int], int] = {}
         for batch in batches:
             copy_of = [seen.setdefault(k, r) for k, r in zip(zip(batch["h"].tolist(), batch["g"].tolist()), batch["row_id"].tolist())]
@@ -210,17 +210,6 @@ def _keys():
     ))
 
 
-_NORM: dict[int, Normaliser] = {}
-
-
-def _normaliser(counts) -> Normaliser:
-    key = id(counts.value)
-    if key not in _NORM:
-        _NORM.clear()
-        _NORM[key] = Normaliser(Restorer(LetterModel(counts.value)))
-    return _NORM[key]
-
-
 def keyed(prints: DataFrame) -> DataFrame:
     """(key, row_id, ts, th): every key of every row that is no copy; th is a short hash of the text."""
     return prints.where("copy_of IS NULL").select(F.explode("keys").alias("key"), "row_id", F.coalesce("ts", F.lit(0)).alias("ts"), F.coalesce("th", F.lit(0)).alias("th"))
@@ -382,7 +371,8 @@ def repeats(messages: DataFrame, counts, batches: list[list[int]], parts: int =
     columns = ["row_id", "run_id", "channel_id", "sender_id", "message_id", "source_key", F.col("timestamp").alias("ts"), "text"]
     rows = messages.select(*columns).where("channel_id IS NOT NULL AND sender_id IS NOT NULL AND run_id IS NOT NULL")
     prints_path = f"{root}/prints"
-    fingerprinted(rows, counts).write.parquet(prints_path)
+    # small row groups: a writer holds one in memory, beside the Python workers
+    fingerprinted(rows, counts).write.option("parquet.block.size", 16 << 20).parquet(prints_path)
     prints = spark.read.parquet(prints_path)
     history = History(spark, f"{root}/state", parts)
     links_path = f"{root}/links"
