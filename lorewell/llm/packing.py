@@ -9,8 +9,8 @@ configuration linear program
 is solved by multiplicative weights: every length has a weight, the best pattern for the weights is priced by dynamic
 programming over the capacity (an unbounded knapsack), the pattern is used as often as moves its most covered length
 by a set part, and covered lengths lose weight. The solution is scaled to a cover and rounded down; what is left,
-a number of items that depends on the number of patterns and not on that of the items, is packed by pricing one
-container after the other exactly. The driver sees the histogram and patterns only; each item finds its container by
+a number of items that depends on the number of patterns and not on that of the items, is packed longest first into
+the fullest container that takes it. The driver sees the histogram and patterns only; each item finds its container by
 its rank among the items of its length.
 
 Defined results: items of length 0 (null or empty text) need no room and get no container; ties in length are ranked
@@ -19,6 +19,8 @@ by a seeded hash; an empty table gives no containers; a capacity below 1 is an e
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,17 +121,27 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Plan
             for i, a in pattern:
                 left[i] -= n * a
             out.append((tuple((int(lengths[i]), a) for i, a in pattern), n))
-    # the rest, exactly: the fullest container with the longest item left, as often as the counts allow
-    while left.any():
-        top = int(np.flatnonzero(left)[-1])
-        left[top] -= 1
-        rest = dict(_priced(lengths, lengths.astype(float), left, capacity - int(lengths[top])))
-        left[top] += 1
-        rest[top] = rest.get(top, 0) + 1
-        n = min(int(left[i]) // a for i, a in rest.items())
-        for i, a in rest.items():
-            left[i] -= n * a
-        out.append((tuple(sorted((int(lengths[i]), a) for i, a in rest.items())), n))
+    # the rest, longest first into the fullest container that takes it: short items are kept for the gaps
+    rooms: list[list[list[int]]] = [[] for _ in range(capacity + 1)]  # containers by the room they have left
+    open_rooms: list[int] = []  # the rooms that any container has, sorted
+    for i in range(len(lengths) - 1, -1, -1):
+        length = int(lengths[i])
+        for _ in range(int(left[i])):
+            k = bisect_left(open_rooms, length)
+            if k < len(open_rooms):
+                room = open_rooms[k]
+                items = rooms[room].pop()
+                if not rooms[room]:
+                    open_rooms.pop(k)
+            else:
+                room, items = capacity, []
+            items.append(length)
+            room -= length
+            if not rooms[room]:
+                insort(open_rooms, room)
+            rooms[room].append(items)
+    same = Counter(tuple(sorted(Counter(items).items())) for own in rooms for items in own)
+    out += sorted(same.items(), key=lambda x: (-x[1], x[0]))
     return Plan(out)
 
 
