@@ -283,8 +283,8 @@ def _put(files: pafs.FileSystem, path: str, write) -> None:
 
 def _linked_part(root: str, part: int, batch: int, own: pd.DataFrame) -> Iterator[pd.DataFrame]:
     files, base = _filesystem(root)
-    own = own.drop_duplicates(["key", "row_id"])
-    keys = np.sort(own["key"].unique())
+    every = own["key"].to_numpy()
+    keys, at_key, times = np.unique(every, return_inverse=True, return_counts=True)
     known = np.zeros(len(keys), dtype=bool)
     found = []
     for earlier in range(batch):
@@ -299,10 +299,9 @@ def _linked_part(root: str, part: int, batch: int, own: pd.DataFrame) -> Iterato
             store = pq.read_table(f"{base}/store/part={part}/{earlier}.parquet", filesystem=files, filters=[("key", ">=", int(wanted[0])), ("key", "<=", int(wanted[-1]))])
             at = np.minimum(np.searchsorted(wanted, k := store["key"].to_numpy()), len(wanted) - 1)
             found.append(store.filter(pa.array(wanted[at] == k)).to_pandas())
-    times = own.groupby("key")["row_id"].transform("size").to_numpy()
-    positive = own[(times > 1) | known[np.searchsorted(keys, own["key"].to_numpy())]]
+    positive = own[((times > 1) | known)[at_key]].drop_duplicates(["key", "row_id"])
     yield _links(pd.concat([x for x in (positive, *found) if len(x)] or [positive], ignore_index=True))
-    ordered = own.sort_values("key")[["key", "row_id", "ts", "th"]]
+    ordered = own.iloc[np.argsort(every, kind="stable")][["key", "row_id", "ts", "th"]]
     _put(files, f"{base}/store/part={part}/{batch}.parquet", lambda out: pq.write_table(pa.Table.from_pandas(ordered, preserve_index=False), out, row_group_size=65_536, compression="zstd", use_dictionary=False, column_encoding={c: "DELTA_BINARY_PACKED" for c in ordered.columns}))
     _put(files, f"{base}/bloom/part={part}/{batch}.bin", lambda out: out.write(bloom_of(keys).tobytes()))
 
