@@ -229,7 +229,7 @@ def test_conversations(spark):
 @pytest.mark.parametrize("text,kind", [
     ("Hi {{name}}, your invitation is waiting", "placeholder"), ("Dear %(name)s,\nwe noticed", "placeholder"), ("[object Object] has joined", "placeholder"), ("Reminder: NaN starts at undefined", "placeholder"), ("Kdo má ${first_name}?", "placeholder"),
     ("Lorem ipsum dolor sit amet nulla", "filler"), ("xxx DOPLNIT xxx", "filler"), ("TODO: write the announcement", "filler"), ("Insira o texto aqui", "filler"),
-    ("404 Not Found", "error"), ("Fehler 502\npožadovaná stránka neexistuje. Request 9.", "error"), ("<h1>Oops: the requested page does not exist</h1>", "error"), ("Traceback (most recent call last): x", "error"),
+    ("404 Not Found", "error"), ("Fehler 502\npožadovaná stránka neexistuje. Request 9.", "error"), ("<h1>Oops: the requested page does not exist</h1>", "error"), ("Traceback (most recent call last): x", "error"), ("Hoppla! the server did not answer in time. Zpět na úvod", "error"), ("[Preview] Error 9841: the page you requested could not be found", "error"),
     ("Please enable JavaScript to view this message.", "script"), ("Включите JavaScript, чтобы продолжить", "script"), ("Pro zobrazení obsahu zapněte JavaScript.", "script"), ("JavaScript is disabled in your browser. Turn it on and reload.", "script"),
 ])
 def test_residue(text, kind):
@@ -240,7 +240,7 @@ def test_residue(text, kind):
 
 @pytest.mark.parametrize("text", [
     "", "   ", "ahoj", "the template wants `{{name}}` in the first line", "use ${HOME}/photos as the path", "page not found? try without the www", "error 503 again all morning, going for coffee",
-    "my javascript course starts at the pier", "warum will die seite immer cookies und javascript?", "napsala jsem TODO list: stan", "set {d, e} has two elements, right?", "I got a 404 on that page too, lol", "100 % jistě",
+    "my javascript course starts at the pier", "warum will die seite immer cookies und javascript?", "napsala jsem TODO list: stan", "set {d, e} has two elements, right?", "I got a 404 on that page too, lol", "the server did not answer, so we left without paying", "session has expired on my phone as well", "100 % jistě",
 ])
 def test_no_residue(text):
     assert residue.evidence(text)[0] is None
