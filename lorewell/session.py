@@ -55,9 +55,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/lorewell/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; removed when the driver ends, as results may be read until then."""
+    path = f"{shared_dir(spark)}/lorewell/{label}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(_sweep)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def _sweep() -> None:
+    for spark, path in _SCRATCH:
+        try:
+            drop_path(spark, path)
+        except Exception:  # the session has ended: the folder's owner cleans up
+            return
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
