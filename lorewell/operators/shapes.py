@@ -35,31 +35,40 @@ def _path(v: Column, *names: str) -> Column:
     return v
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once: inside lambdas, common subexpressions aren't found."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def leaf_state(v: Column) -> Column:
     """The automaton's state of a node before any typed rule: its kind."""
-    shape = F.call_function("schema_of_variant", v)
     text = F.call_function("try_variant_get", v, F.lit("$"), F.lit("string"))
-    return (
-        F.when(v.isNull() | (shape == "VOID"), NULL)
+    return _let(
+        F.call_function("schema_of_variant", v),
+        lambda shape: F.when(shape.isNull() | (shape == "VOID"), NULL)
         .when(shape == "STRING", F.when(text == "", BLANK).otherwise(TEXT))
         .when(shape == "OBJECT<>", HOLLOW)
         .when(shape.startswith("OBJECT"), OBJECT)
         .when(shape.startswith("ARRAY"), LIST)
         .when(shape == "BOOLEAN", FLAG)
-        .otherwise(NUMBER)
+        .otherwise(NUMBER),
     )
 
 
+def _is_entry_state(state: Column) -> Column:
+    return ~state.isin(NULL, BLANK, HOLLOW)
+
+
 def is_entry(v: Column) -> Column:
     """Null, empty text and the empty object are no entries."""
-    return ~leaf_state(v).isin(NULL, BLANK, HOLLOW)
+    return _is_entry_state(leaf_state(v))
 
 
 def parsed(text: Column) -> Column:
     """JSON text as VARIANT; null unless the whole text is one valid value."""
+    get = lambda boxed, path: F.call_function("try_variant_get", boxed, F.lit(path), F.lit("variant"))
     boxed = F.call_function("try_parse_json", F.concat(F.lit("["), text, F.lit("]")))
-    more = F.call_function("try_variant_get", boxed, F.lit("$[1]"), F.lit("variant"))
-    return F.when(more.isNull(), F.call_function("try_variant_get", boxed, F.lit("$[0]"), F.lit("variant")))
+    return _let(boxed, lambda b: F.when(get(b, "$[1]").isNull(), get(b, "$[0]")))
 
 
 def _unwrapped(v: Column) -> Column:
@@ -70,13 +79,11 @@ def _unwrapped(v: Column) -> Column:
 
 def entries(v: Column) -> Column:
     """A node as array<variant>: arrays as they are, an object as an array of one, JSON text parsed, else empty."""
-    v = _unwrapped(v)
-    state = leaf_state(v)
-    return (
-        F.when(state == LIST, F.call_function("try_variant_get", v, F.lit("$"), F.lit("array<variant>")))
-        .when(state == OBJECT, F.array(v))
+    return _let(_unwrapped(v), lambda u: _let(leaf_state(u), lambda state: (
+        F.when(state == LIST, F.call_function("try_variant_get", u, F.lit("$"), F.lit("array<variant>")))
+        .when(state == OBJECT, F.array(u))
         .otherwise(F.array().cast("array<variant>"))
-    )
+    )))
 
 
 @dataclass(frozen=True)
@@ -87,8 +94,8 @@ class Rule:
     members: dict[str, tuple[str, ...]] = field(default_factory=dict)
     kind: str = OBJECT
 
-    def fits(self, v: Column) -> Column:
-        test = leaf_state(v) == self.kind
+    def fits(self, v: Column, state: Column) -> Column:
+        test = state == self.kind
         for name, states in self.members.items():
             test = test & leaf_state(_path(v, name)).isin(*states)
         return test
@@ -105,10 +112,15 @@ class Automaton:
         return [r.state for r in self.rules] + [f"{self.family}_other"]
 
     def classify(self, v: Column) -> Column:
-        chain = F
-        for rule in self.rules:
-            chain = chain.when(rule.fits(v), rule.state)
-        return chain.otherwise(f"{self.family}_other")
+        """The state of an entry; null for a node that is none."""
+
+        def typed(state: Column) -> Column:
+            chain = F.when(~_is_entry_state(state), None)
+            for rule in self.rules:
+                chain = chain.when(rule.fits(v, state), rule.state)
+            return chain.otherwise(f"{self.family}_other")
+
+        return _let(leaf_state(v), typed)
 
 
 _SOME = (TEXT,)
@@ -166,7 +178,7 @@ def _children(kind: str, nodes: Column) -> Column:
     """The entries of array<variant> as child rows."""
     rows = F.transform(nodes, lambda v, i: F.struct(
         F.lit(kind).alias("child_kind"), i.alias("pos"), F.lit(-1).alias("sub_pos"),
-        F.when(is_entry(v), AUTOMATA[kind].classify(v)).alias("shape"), v.alias("node"),
+        AUTOMATA[kind].classify(v).alias("shape"), v.alias("node"),
     ))
     return F.filter(rows, lambda r: r["shape"].isNotNull()).cast(f"array<{_CHILD}>")
 
@@ -175,7 +187,7 @@ def _grandchildren(kind: str, nodes: Column, member: str) -> Column:
     """The entries of an array that each node of array<variant> holds."""
     rows = F.flatten(F.transform(nodes, lambda v, i: F.transform(entries(_path(v, member)), lambda w, j: F.struct(
         F.lit(kind).alias("child_kind"), i.alias("pos"), j.alias("sub_pos"),
-        F.when(is_entry(w), AUTOMATA[kind].classify(w)).alias("shape"), w.alias("node"),
+        AUTOMATA[kind].classify(w).alias("shape"), w.alias("node"),
     ))))
     return F.filter(rows, lambda r: r["shape"].isNotNull()).cast(f"array<{_CHILD}>")
 
