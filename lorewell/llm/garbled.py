@@ -50,6 +50,7 @@ _C1 = re.compile("[\x80-\x9f]")
 _CUT = re.compile("^[^A-Za-z]*(?:[Â-ô][¢-©¬®-¹¼-¾]|[ÐÑ]{3}|[ìëêíà-ï]{2}[¢-¹])[^A-Za-z]*$")
 _PUNCTUATION = re.compile("^[\u2010-\u203a]*$")
 _OTHER_SCRIPT = re.compile("1251|koi8|866|1253|8859-7|1256|874")
+_SAME_KIND = re.compile("^(?!utf-8).* as (?:cp1251|koi8-r|cp866|cp1253)$")
 _EMOJI_REST = re.compile("^[ðâïÂ¤-¿‍]*ð[ðâïÂ¤-¿‍]*$")
 #: SQL: the tokens of a text, as the letter model counts them.
 _NON_TOKEN = r"[\x00-@\[-`{-\x7f]+"
@@ -109,6 +110,8 @@ class _Utf8As:
         latin = not re.search("1251|1253|1256|866|koi8|cyrillic|874", codec)  # in other scripts the other case is plain text
         for pick in (lambda c: c, str.lower, str.upper)[: 3 if latin else 1]:
             for i, c in enumerate(chars):
+                if c == "\xa0" and i >= 0x40:
+                    continue  # a no-break space that would be a lead byte is a no-break space
                 if c and len(x := pick(c)) == 1 and ord(x) > 127 and 128 + i not in self.bytes.get(x, []):
                     self.bytes.setdefault(x, []).append(128 + i)
         of = lambda lo, hi: "".join(sorted(c for c, bs in self.bytes.items() if any(lo <= b <= hi for b in bs)))
@@ -262,11 +265,16 @@ class Restorer:
         if found := self._utf8(token):
             out, name, firm = found
             gain = self.model.gain(token, out)
-            if (gain > GAIN_UTF8 or (firm and gain > -1.5) or (len(token) - len(out) > 3 and not _OTHER_SCRIPT.search(name))) and not (one and one[0] > max(self.model.mean(out) - own + 0.3, GAIN)):
+            if (gain > GAIN_UTF8 or (firm and gain > -1.5) or (len(token) - len(out) > 3 and not _OTHER_SCRIPT.search(name))) and not (one and one[0] > max(self.model.mean(out) - own + (2.0 if firm else 0.3), GAIN)):
                 fixed = self._lone(out)
                 return fixed if self.model.gain(out, fixed) > GAIN else out, name
         if _EMOJI_REST.match(token) or _CUT.match(token):
             return token, "cut"
+        if "\xa0" in token:  # no part of a letter, then
+            parts = token.split("\xa0")
+            found = [self.judge(p) if _TOKEN.fullmatch(p) else None for p in parts]
+            names = [f[1] for f in found if f and not _weak(f)]
+            return ("\xa0".join(f[0] if f else p for f, p in zip(found, parts)), names[0]) if names else None
         tries = [t for t in (one, self._wide(token, own)) if t]
         if (fixed := self._lone(token)) != token:
             tries.append((self.model.mean(fixed) - own, fixed, "utf-8, controls lost"))
@@ -293,7 +301,9 @@ class Restorer:
             plain = _ESCAPE.sub(lambda m: x if ord((x := _unescaped(m.group()))[0]) > 127 else m.group(), text)
         # short tokens say too little by themselves: they follow a longer one of the same pair
         found = {t: f for t in _TOKEN.findall(plain) if (f := self.judge(t))}
-        firm = {f[1] for t, f in found.items() if not _weak(f)}
+        names = [f[1] for t, f in found.items() if not _weak(f)]
+        # letters of another script in place of letters: one token can be a misspelling, two can't
+        firm = {n for n in names if not _SAME_KIND.search(n) or names.count(n) > 1 or any(f[1] == n and not t.isalpha() or any("a" <= c.lower() <= "z" for c in t) for t, f in found.items() if f[1] == n)}
         if not firm:
             return text, None
         out = _TOKEN.sub(lambda m: f[0] if (f := found.get(m.group())) and f[1] in firm else m.group(), plain)
