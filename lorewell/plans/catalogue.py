@@ -225,14 +225,15 @@ def page_latest(load):
 
 
 _BUSY = "(SELECT channel_id FROM messages WHERE channel_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, channel_id LIMIT 1)"
-_MIDDLE = f"(SELECT row_id FROM messages WHERE channel_id = {_BUSY} AND timestamp IS NOT NULL ORDER BY timestamp, row_id LIMIT 1 OFFSET 400)"
+_MIDDLE = f"(SELECT row_id FROM (SELECT row_id, row_number() OVER (ORDER BY timestamp, row_id) AS k, count(*) OVER () AS n FROM messages WHERE channel_id = {_BUSY} AND timestamp IS NOT NULL) WHERE k = n // 2 + 1)"
 
 
 def _busy(load) -> tuple[int, tuple[int, int]]:
-    """The thread with most messages, and the cursor of its 401st."""
+    """The thread with most messages, and the cursor of its middle one."""
     m = load("messages").where("channel_id IS NOT NULL")
     channel = m.groupBy("channel_id").count().orderBy(F.desc("count"), "channel_id").first()[0]
-    t, r = m.where((F.col("channel_id") == channel) & F.col("timestamp").isNotNull()).orderBy("timestamp", "row_id").select("timestamp", "row_id").offset(400).first()
+    rows = m.where((F.col("channel_id") == channel) & F.col("timestamp").isNotNull())
+    t, r = rows.orderBy("timestamp", "row_id").select("timestamp", "row_id").offset(rows.count() // 2).first()
     return channel, (t, r)
 
 
@@ -572,10 +573,10 @@ def text_links(load):
     return load("messages").select("row_id", F.explode(text.links(F.col("text"))).alias("link"))
 
 
-@query("SELECT row_id, CAST((make_timestamp(timestamp * 1000) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Prague' AS DATE) AS day FROM messages WHERE timestamp IS NOT NULL")
+@query("SELECT row_id, CAST((make_timestamp(timestamp * 1000) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Prague' AS DATE) AS day FROM messages WHERE timestamp >= 1577836800000 AND timestamp < 1798761600000")
 def local_days(load):
-    """Every message's calendar day in a viewer's time zone."""
-    return load("messages").where("timestamp IS NOT NULL").select("row_id", time.day(F.col("timestamp"), "Europe/Prague").alias("day"))
+    """Every message's calendar day in a viewer's time zone; impossible times have none."""
+    return load("messages").where("timestamp >= 1577836800000 AND timestamp < 1798761600000").select("row_id", time.day(F.col("timestamp"), "Europe/Prague").alias("day"))
 
 
 @query("SELECT channel_id, sender_id, n AS messages, place FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY n DESC, sender_id) AS place FROM (SELECT channel_id, sender_id, count(*) AS n FROM messages WHERE sender_id IS NOT NULL GROUP BY 1, 2)) WHERE place <= 12")

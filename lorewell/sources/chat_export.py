@@ -134,6 +134,7 @@ def stage(spark, source) -> dict[str, DataFrame]:
     from lorewell.functions.time import iso_ms
     from lorewell.operators.shapes import entries
     from lorewell.operators.writes import directory_vote
+    from lorewell.session import written
 
     at = lambda v, p, t="string": F.call_function("try_variant_get", F.col(v) if isinstance(v, str) else v, F.lit(p), F.lit(t))
     raw = read_records(spark, source)
@@ -174,6 +175,7 @@ def stage(spark, source) -> dict[str, DataFrame]:
     platform = F.lit("teams")
     rows = rows.withColumn("who", who).withColumn("shown", shown).withColumn("sender_id", minted(platform, F.lit("user"), F.col("who")))
     rows = rows.withColumn("channel_id", minted(platform, F.col("conversation"))).withColumn("source_key", chat_key(F.col("conversation"), F.col("chat_id"))).withColumn("message_id", minted(F.col("source_key")))
+    rows = written(rows, "records")  # all tables below are read from it: the index is parsed once
 
     reactions = rows.select("message_id", F.posexplode(entries(at("m", "$.properties.emotions", "variant"))).alias("e", "emotion"))
     reactions = reactions.select("message_id", "e", at("emotion", "$.key").alias("key"), F.explode(entries(at("emotion", "$.users", "variant"))).alias("u")).where(F.col("key") != "reactionsConsumptionHorizon")
