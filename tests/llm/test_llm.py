@@ -103,6 +103,21 @@ def test_entities(spark):
     assert entities.linked(entities.matched(none, counts), none).count() == 0
 
 
+def wanted_pairs(spark, rows):
+    """The candidate pairs of (id, platform, family, given, handle)."""
+    schema = "id bigint, platform string, person_id bigint, picture string, names array<struct<family:string,given:string>>, given string, handle string, digits string"
+    accounts = [(i, p, None, None, [{"family": f, "given": g}] if f else [], g, h, "") for i, p, f, g, h in rows]
+    return {tuple(r) for r in entities.paired(spark.createDataFrame(accounts, schema)).collect()}
+
+
+def test_large_blocks_are_compared_whole(spark):
+    rows = [(i, "ab"[i % 2], "novak", "cdefgh"[i % 6] + "ana", "") for i in range(2 * entities.BLOCK + 7)]
+    n = len(rows)
+    rows += [(n, "c", "novak", "bob", ""), (n + 1, "d", "novak", "robert", ""), (n + 2, "e", "", "", "novak")]
+    got = wanted_pairs(spark, rows)
+    assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1]}
+
+
 def test_given_names():
     assert entities._given_alike("eli", "eliska") == 0.8
     assert entities._given_alike("e", "eliska") == 0.7
