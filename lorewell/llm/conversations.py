@@ -4,12 +4,13 @@ Candidates of a message are the previous message of its channel, the latest mess
 for each of its words, the latest message of another speaker with that word. A candidate's score falls with the time
 between the two; it rises with a mention, with the rarity of a shared word, and with a change of speaker. Of two
 candidates with the same mention or word the later one scores more, so no other message can win: the candidate set
-loses nothing and needs no cap. Mentions and shared words count for ``HORIZON_MS``; the previous message counts
-however long ago it is. A message whose best score is below ``ROOT_BELOW`` begins a new tree.
+loses nothing and needs no cap. A message whose best score is below ``ROOT_BELOW`` begins a new tree, so mentions and
+shared words count until their score falls below that; the previous message counts however long ago it is.
 
-Messages are worked on in slabs of ``SLAB_MS`` of a channel, each with the horizon before it, so a channel that has a
-third of all rows is spread over as many tasks as it has slabs. A slab's task streams over its rows in time order and
-keeps only the latest rows by word and speaker. Word frequencies are counted over all messages and hashed into a
+Messages are worked on in slabs of ``SLAB_MS`` of a channel, so a channel that has a third of all rows is spread over
+as many tasks as it has slabs. Slabs are summarised by word and speaker first, and windows over the slabs carry the
+latest rows to the later slabs that have the word. A slab's task streams over its rows in time order and keeps only
+the latest rows by word and speaker. Word frequencies are counted over all messages and hashed into a
 table of fixed size.
 
 Verdicts: ``broken`` if a row has a sender that is null or in no users row, or a timestamp that is null or outside
@@ -22,7 +23,7 @@ repeated rows are turns like others unless ``first_only`` is set; empty tables g
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log, log1p
+from math import expm1, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ from lorewell.llm.graph import components
 from lorewell.session import written
 
 FIRST_MS, END_MS = 1_577_836_800_000, 1_798_761_600_000  # 2020-01-01 and 2027-01-01, UTC
-HORIZON_MS, SLAB_MS = 86_400_000, 7 * 86_400_000
+SLAB_MS = 7 * 86_400_000
 BUCKETS = 1 << 18
 TIME, MENTION, WORD, TURN, ROOT_BELOW = 0.6, 3.0, 0.35, 1.0, -2.6
 
@@ -87,14 +88,12 @@ def links(rows: DataFrame, users: DataFrame, counts) -> DataFrame:
     """
     names = users.select(F.col("id").alias("sender_id"), F.concat_ws(" ", "display_name", "name").alias("name")).dropDuplicates(["sender_id"])
     slab = F.floor(F.col("ts") / SLAB_MS).cast("bigint")
-    late = F.pmod(F.col("ts"), F.lit(SLAB_MS)) >= SLAB_MS - HORIZON_MS
     rows = rows.join(names, "sender_id", "left").select("channel_id", "row_id", "sender_id", "ts", "text", "name", slab.alias("slab"))
     # what the previous slab with rows ended with
     ends = rows.groupBy("channel_id", "slab").agg(F.max(F.struct("ts", "row_id", "sender_id")).alias("end"))
     before = ends.select("channel_id", "slab", F.lag("end").over(W.partitionBy("channel_id").orderBy("slab")).alias("end")).where("end IS NOT NULL")
     before = before.select("channel_id", "slab", F.col("end.ts").alias("ts"), F.col("end.row_id").alias("row_id"), F.col("end.sender_id").alias("sender_id"), F.lit("").alias("text"), F.lit("").alias("name"), F.lit(0).alias("role"))
-    again = rows.where(late).withColumn("slab", F.col("slab") + 1).withColumn("role", F.lit(1))
-    everything = rows.withColumn("role", F.lit(2)).unionByName(again).unionByName(before)
+    everything = rows.withColumn("role", F.lit(2)).unionByName(_carried(rows, counts)).unionByName(before)
     placed = everything.repartition("channel_id", "slab").sortWithinPartitions("channel_id", "slab", "ts", "row_id", "role")
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,6 +104,41 @@ def links(rows: DataFrame, users: DataFrame, counts) -> DataFrame:
     return placed.select("channel_id", "slab", "row_id", "sender_id", "ts", "text", "name", "role").mapInPandas(apply, LINK)
 
 
+LATEST = "word string, first bigint, reach bigint, lt bigint, lr bigint, ls bigint, ot bigint, orow bigint, os bigint, st bigint, sr bigint, ss bigint"
+
+
+def _carried(rows: DataFrame, counts) -> DataFrame:
+    """Rows of earlier slabs that a slab's rows may answer, as rows of that slab with role 1: for each of the slab's
+    words the latest row with it, the latest of another speaker than that, and the latest of a speaker of that name.
+    Their text and name are the words they are carried for."""
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scan = _Scan(counts.value)
+        for batch in batches:
+            yield scan.summaries(batch)
+        yield scan.summaries(None)
+
+    placed = rows.repartition("channel_id", "slab").sortWithinPartitions("channel_id", "slab", "ts", "row_id")
+    latest = placed.select("channel_id", "slab", "row_id", "sender_id", "ts", "text", "name").mapInPandas(summarise, f"channel_id bigint, slab bigint, {LATEST}")
+    row = lambda t, r, s: F.when(F.col(t).isNotNull(), F.struct(F.col(t).alias("ts"), F.col(r).alias("row_id"), F.col(s).alias("sender_id")))
+    latest = latest.select("channel_id", "slab", "word", "first", "reach", row("lt", "lr", "ls").alias("l"), row("ot", "orow", "os").alias("o"), row("st", "sr", "ss").alias("s"))
+    earlier = W.partitionBy("channel_id", "word").orderBy("slab").rowsBetween(W.unboundedPreceding, -1)
+    latest = latest.withColumn("was", F.last("l", ignorenulls=True).over(earlier)).withColumn("named", F.last("s", ignorenulls=True).over(earlier))
+    # behind a slab, the latest of another speaker is the slab's own, or what was latest before, or stays
+    other = F.when(F.col("o").isNotNull(), F.col("o")).when(F.col("was.sender_id") != F.col("l.sender_id"), F.col("was"))
+    latest = latest.withColumn("turned", other).withColumn("other", F.last("turned", ignorenulls=True).over(earlier))
+    offer = lambda c, reach, name: F.when(F.col("first") - F.col(f"{c}.ts") <= reach, F.struct(F.col(c).alias("row"), F.lit(name).alias("by_name")))
+    offers = F.filter(F.array(offer("was", F.col("reach"), False), offer("other", F.col("reach"), False), offer("named", F.lit(_reach(MENTION)), True)), lambda x: x.isNotNull())
+    offers = latest.select("channel_id", "slab", "word", F.explode(offers).alias("c")).select("channel_id", "slab", "word", "c.row.*", "c.by_name")
+    words = lambda by_name: F.concat_ws(" ", F.collect_list(F.when(F.col("by_name") == by_name, F.col("word"))))
+    return offers.groupBy("channel_id", "slab", "row_id", "ts", "sender_id").agg(words(False).alias("text"), words(True).alias("name")).withColumn("role", F.lit(1))
+
+
+def _reach(gain: float) -> int:
+    """Milliseconds after which a candidate with this gain scores below ``ROOT_BELOW``, and some more for rounding."""
+    return int(expm1((TURN + gain - ROOT_BELOW) / TIME) * 60_000) + 1_000
+
+
 class _Scan:
     """Streams over slabs in time order; keeps the latest row by word and by speaker's name."""
 
@@ -124,6 +158,48 @@ class _Scan:
             x = self.rarity[word] = log((self.most + 1) / (n + 1))
         return x
 
+    def _keep(self, own: tuple, words, name: str | None) -> None:
+        # the latest row with a word, and the latest of another speaker than that one's
+        for w in words:
+            last = self.words.get(w)
+            self.words[w] = (own,) if last is None else (own, last[0]) if last[0][2] != own[2] else (own, *last[1:])
+        if name:
+            for w in _TOKEN.findall(name.lower()):
+                if len(w) > 2:
+                    self.speakers[w] = own
+
+    def summaries(self, batch: pd.DataFrame | None) -> pd.DataFrame:
+        """What the slabs that have ended leave behind by word (``LATEST``); None: the last one has ended, too."""
+        out: list[tuple] = []
+        none = (None, None, None)
+        rows = [] if batch is None else zip(*(batch[c].tolist() for c in batch.columns))
+
+        def close() -> None:
+            if self.slab is None:
+                return
+            end = (self.slab[1] + 1) * SLAB_MS
+            for w in self.words.keys() | self.speakers.keys():
+                reach = _reach(WORD * self._rarity(w))
+                last, other, *_ = *(c if end - c[0] <= reach else none for c in self.words.get(w, ())), none, none
+                speaker = self.speakers.get(w, none)
+                first = self.first.get(w)
+                if first is not None or speaker is not none:
+                    out.append((*self.slab, w, end if first is None else first, reach, *last, *other, *speaker))
+
+        for channel, slab, row, sender, ts, text, name in rows:
+            if (channel, slab) != self.slab:
+                close()
+                self.slab, self.words, self.speakers, self.first = (channel, slab), {}, {}, {}
+            words = set(_TOKEN.findall(text.lower())) if text else ()
+            for w in words:
+                self.first.setdefault(w, ts)
+            self._keep((ts, row, sender), words, name)
+        if batch is None:
+            close()
+        names = ["channel_id", "slab", *(x.split()[0] for x in LATEST.split(", "))]
+        columns = list(zip(*out)) if out else [()] * len(names)
+        return pd.DataFrame({n: pd.array(list(c), dtype="string" if n == "word" else "Int64") for n, c in zip(names, columns)})
+
     def take(self, batch: pd.DataFrame) -> pd.DataFrame:
         out = []
         for channel, slab, row, sender, ts, text, name, role in zip(*(batch[c].tolist() for c in batch.columns)):
@@ -140,28 +216,19 @@ class _Scan:
                     best = (self._time(ts - p[0]) + (TURN if p[2] != sender else 0.0), p)
                 for w in words:
                     c = self.speakers.get(w)
-                    if c is not None and c[2] != sender and ts - c[0] <= HORIZON_MS:
+                    if c is not None and c[2] != sender:
                         score = self._time(ts - c[0]) + TURN + MENTION
-                        if score > best[0]:
+                        if score >= ROOT_BELOW and score > best[0]:
                             best = (score, c)
                     for c in self.words.get(w, ()):
                         if c[2] != sender:
-                            if ts - c[0] <= HORIZON_MS:
-                                score = self._time(ts - c[0]) + TURN + WORD * self._rarity(w)
-                                if score > best[0]:
-                                    best = (score, c)
+                            score = self._time(ts - c[0]) + TURN + WORD * self._rarity(w)
+                            if score >= ROOT_BELOW and score > best[0]:
+                                best = (score, c)
                             break
                 out.append((channel, row, ts, sender, *((best[1][1], best[1][0], best[1][2], best[0]) if best else (None, None, None, None))))
-            # the latest row with a word, and the latest of another speaker than that one's
-            for w in words:
-                last = self.words.get(w)
-                self.words[w] = (own,) if last is None else (own, last[0]) if last[0][2] != sender else (own, *last[1:])
-            if name:
-                for w in _TOKEN.findall(name.lower()):
-                    if len(w) > 2:
-                        self.speakers[w] = own
-            if role or self.previous is None:
-                self.previous = own
+            self._keep(own, words, name)
+            self.previous = own
         names = ["channel_id", "row_id", "ts", "sender_id", "parent_row", "parent_ts", "parent_sender", "score"]
         columns = list(zip(*out)) if out else [()] * len(names)
         # Int64 from the start: ids with gaps would lose digits as floats

@@ -214,6 +214,47 @@ def test_components(spark):
 # --- p5
 
 
+def best_parent(rows, k, names, counts):
+    """The best parent by comparing a row with all rows before it."""
+    ts, row, sender, text = rows[k]
+    words = set(conversations._TOKEN.findall(text.lower()))
+    scan, best = conversations._Scan(counts), None
+    for i in range(k - 1, -1, -1):
+        t, r, s, said = rows[i]
+        time = scan._time(ts - t)
+        if i == k - 1:
+            best = (time + (conversations.TURN if s != sender else 0.0), r)
+        if s == sender:
+            continue
+        gains = [conversations.WORD * scan._rarity(w) for w in words & set(conversations._TOKEN.findall(said.lower()))]
+        if names[s] in words and not any(x[2] == s for x in rows[i + 1 : k]):
+            gains.append(conversations.MENTION)
+        score = time + conversations.TURN + max(gains, default=-99.0)
+        if score >= conversations.ROOT_BELOW and score > best[0]:
+            best = (score, r)
+    return best
+
+
+def test_old_messages_are_answered(spark):
+    rng = random.Random(5)
+    names = {1: "anna", 2: "boris", 3: "cyril"}
+    vocabulary = [f"word{i}" for i in range(60)] + list(names.values())
+    ts, rows = 1_600_000_000_000, []
+    for r in range(300):
+        ts += int(rng.choice([60_000, 3_600_000, 86_400_000, 9 * 86_400_000]) * rng.uniform(0.2, 2))
+        rows.append((ts, r, rng.choice([1, 1, 2, 3]), " ".join(rng.sample(vocabulary, 3))))
+    counts = np.full(conversations.BUCKETS + 1, 3, dtype="float32")
+    counts[-1] = 50_000
+    frame = spark.createDataFrame([(7, r, s, t, x) for t, r, s, x in rows], "channel_id bigint, row_id bigint, sender_id bigint, ts bigint, text string")
+    users = spark.createDataFrame([(i, n, None) for i, n in names.items()], "id bigint, name string, display_name string")
+    got = {r["row_id"]: r for r in conversations.links(frame, users, spark.sparkContext.broadcast(counts)).collect()}
+    assert len(got) == len(rows)
+    for k in range(1, len(rows)):
+        score, parent = best_parent(rows, k, names, counts)
+        assert got[k]["parent_row"] == parent and abs(got[k]["score"] - score) < 1e-9, rows[k]
+    assert sum(r["ts"] - r["parent_ts"] > 86_400_000 and r["parent_row"] != r["row_id"] - 1 for r in got.values() if r["parent_row"] is not None) > 20
+
+
 def test_conversations(spark):
     users = spark.createDataFrame([(1, "Jana Nováková", None, None), (2, "Petr Malý", None, 1), (3, "Eva", None, None)], "id bigint, name string, display_name string, person_id bigint")
     channels = spark.createDataFrame([(c,) for c in (10, 11, 12, 13, 14, 15, 16)], "id bigint")
