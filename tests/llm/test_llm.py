@@ -313,6 +313,15 @@ def test_residue_frames_and_boilerplate(spark):
     assert residue.judged(df.limit(0), counts).count() == 0
 
 
+def test_boilerplate_is_counted_over_all_records(spark):
+    footer = "-- gesendet von unterwegs"
+    rows = [(i, "p", f"bis morgen {w}\n{footer}") for i, w in enumerate(["anna", "boris", "cyril", "dana"])]
+    rows += [(10, "p", f"tbd\n{footer}"), (11, "q", f"tbd\n{footer}")]
+    frame = spark.createDataFrame(rows, "row_id bigint, host string, text string")
+    counts = spark.sparkContext.broadcast(model())
+    assert [tuple(r) for r in residue.judged(frame, counts).collect()] == [(10, "filler")]
+
+
 # --- p7, p8
 
 
