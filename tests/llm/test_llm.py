@@ -118,6 +118,11 @@ def test_large_blocks_are_compared_whole(spark):
     assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1]}
 
 
+def test_long_handles_are_cut_whole(spark):
+    rows = [(1, "a", "", "", "friederikerimetinsky"), (2, "b", "rimetinski", "friederike", ""), (3, "a", "", "", "abcdefghijklmnovakxyzuvw"), (4, "b", "novak", "jan", "")]
+    assert wanted_pairs(spark, rows) == {(1, 2), (3, 4)}
+
+
 def test_given_names():
     assert entities._given_alike("eli", "eliska") == 0.8
     assert entities._given_alike("e", "eliska") == 0.7
