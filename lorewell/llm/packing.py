@@ -7,11 +7,15 @@ configuration linear program
     minimise sum of x_p  over patterns p,  so that  sum of a_lp x_p >= n_l  for every length l
 
 is solved by multiplicative weights: every length has a weight, the best pattern for the weights is priced by dynamic
-programming over the capacity (an unbounded knapsack), the pattern is used as often as moves its most covered length
-by a set part, and covered lengths lose weight. The solution is scaled to a cover and rounded down; what is left,
-a number of items that depends on the number of patterns and not on that of the items, is packed longest first into
-the fullest container that takes it. The driver sees the histogram and patterns only; each item finds its container by
-its rank among the items of its length.
+programming over the capacity (a bounded knapsack), the pattern is used as often as moves its most covered length by a
+set part, and covered lengths lose weight. A length that is
+covered takes no more part, so every length is covered exactly once. Uses are rounded so that their running sum stays
+what it is; what that leaves is a histogram again and is solved in the same way. As soon as rounding carries little, a
+pattern is priced for each of the last containers. So every item lies in a priced pattern, and the number of prices
+depends on the lengths and patterns, not on the items. The first weights bound the program from below (``Plan.bound``).
+
+The histograms of all capacities are solved side by side, each in a task of its own; the driver sees none of them.
+Each item finds its container by its rank among the items of its length.
 
 Defined results: items of length 0 (null or empty text) need no room and get no container; ties in length are ranked
 by a seeded hash; an empty table gives no containers; a capacity below 1 is an error.
@@ -19,130 +23,149 @@ by a seeded hash; an empty table gives no containers; a capacity below 1 is an e
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.tokens import TOKENIZER, ranked, token_count
+from lorewell.llm.tokens import TOKENIZER, ranged, token_count
 from lorewell.session import written
 
-STEP, ROUNDS = 0.15, 240
+STEP = 1.0  # the share of its most covered length's items that a pattern takes at once
+RATE = 0.3  # how fast covered lengths lose weight
+LONGEST = 0.2  # how much more a token of a longer item counts, so that short ones are kept for the gaps
+CORE, NEAR = 3, 2e-2  # a price is found among the lengths that fill CORE containers, if it is within NEAR of the bound
+PART = 4  # solving ends when rounding carries less than this part of what is left
 
 
 @dataclass
 class Plan:
-    """Patterns ((length, times), ...) with how often each is used, in order of container number."""
+    """Patterns ((length, times), ...) with how often each is used, in order of container number.
+
+    ``bound``: no packing has fewer containers; ``rounded``: how many items the rounded solutions carry."""
 
     patterns: list[tuple[tuple[tuple[int, int], ...], int]]
+    bound: float = 0.0
+    rounded: int = 0
 
     @property
     def containers(self) -> int:
         return sum(n for _, n in self.patterns)
 
 
-def _priced(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> list[tuple[int, int]]:
-    """The most valuable pattern (index, times) within the capacity, with at most ``most`` of each length.
-
-    Dynamic programming over the capacity; where it takes more of a length than there are, the surplus is cut and
-    the room priced again with what is left.
+def _filled(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
+    """The most valuable pattern within the capacity, by bounded-knapsack dynamic programming: value, times by index."""
+    best = np.zeros(capacity + 1)
+    bundles = []
+    for j in range(len(lengths)):
+        length, left, size = int(lengths[j]), min(int(most[j]), capacity // int(lengths[j])), 1
+        while left > 0:
+            k = min(size, left)
+            w = k * length
+            trial = best[: capacity + 1 - w] + k * values[j]
+            better = trial > best[w:]
+            np.maximum(best[w:], trial, out=best[w:])
+            bundles.append((j, k, w, better))
+            left -= k
+            size *= 2
+    c, out = capacity, {}
+    for j, k, w, better in reversed(bundles):
+        if c >= w and better[c - w]:
+            out[j] = out.get(j, 0) + k
+            c -= w
+    return float(best[capacity]), out
+
+
+def _priced(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """The best pattern (indices, times) and an upper bound of all patterns' values.
+
+    The lengths of the highest value by token are tried first; their pattern is taken if it reaches the fractional
+    knapsack's bound but for ``NEAR``, else all lengths are tried.
     """
-    room, left, out = capacity, most.copy(), {}
-    while room > 0:
-        usable = np.flatnonzero((left > 0) & (lengths <= room) & (values > 0))
-        if not len(usable):
+    usable = np.flatnonzero((most > 0) & (lengths <= capacity))
+    order = usable[np.argsort(-(values[usable] / lengths[usable]), kind="stable")]
+    room = np.minimum(most[order], capacity // lengths[order]) * lengths[order]
+    filled = np.cumsum(room)
+    whole = int(np.searchsorted(filled, capacity, side="right"))
+    bound = float((values[order[:whole]] * (room[:whole] // lengths[order[:whole]])).sum())
+    if whole < len(order):
+        bound += float(values[order[whole]] / lengths[order[whole]]) * (capacity - (int(filled[whole - 1]) if whole else 0))
+    wide = CORE
+    while True:
+        core = order[: int(np.searchsorted(filled, wide * capacity)) + 12]
+        value, times = _filled(lengths[core], values[core], most[core], capacity)
+        if len(core) == len(order):
+            bound = value
+        if value >= bound * (1 - NEAR):
             break
-        ls, vs = lengths[usable], values[usable]
-        best = np.zeros(room + 1)
-        take = np.full(room + 1, -1, dtype=np.int64)
-        order = np.argsort(ls, kind="stable")
-        ls, vs, usable = ls[order], vs[order], usable[order]
-        fit = np.searchsorted(ls, np.arange(room + 1), side="right")
-        for c in range(1, room + 1):
-            k = fit[c]
-            best[c] = best[c - 1]
-            if k:
-                sums = best[c - ls[:k]] + vs[:k]
-                j = int(sums.argmax())
-                if sums[j] > best[c]:
-                    best[c], take[c] = sums[j], j
-        c, picked = room, {}
-        while c > 0:
-            if take[c] < 0:
-                c -= 1
-                continue
-            picked[take[c]] = picked.get(take[c], 0) + 1
-            c -= int(ls[take[c]])
-        cut = False
-        used = 0
-        for j, n in picked.items():
-            i = int(usable[j])
-            m = min(n, int(left[i]))
-            cut |= m < n
-            left[i] -= m
-            used += m * int(ls[j])
-            out[i] = out.get(i, 0) + m
-        room -= used
-        if not cut or not used:
-            break
-    return sorted(out.items())
-
-
-def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Plan:
+        wide *= 4
+    at = np.array(sorted(times), dtype=np.int64)
+    return core[at], np.array([times[int(j)] for j in at], dtype=np.int64), bound
+
+
+def _solved(lengths: np.ndarray, counts: np.ndarray, capacity: int, step: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, float]:
+    """Patterns, how often each is used (fractions that cover every length once), and a lower bound."""
+    share, cover = lengths / capacity, np.zeros(len(lengths))
+    patterns, uses = [], []
+    least = float((lengths * counts).sum()) / capacity
+    while (open_ := cover < 1).any():
+        values = share * (1 + LONGEST * share) * np.exp(-RATE * (cover - cover[open_].min()))
+        at, times, bound = _priced(lengths, values, np.where(open_, counts, 0), capacity)
+        if not patterns:
+            least = max(least, float((counts * values).sum()) / bound)
+        gain = times / counts[at]
+        # the most covered length moves by a step, and none beyond its items
+        use = min(step / float(gain.max()), float(((1 - cover[at]) / gain).min()))
+        patterns.append((at, times))
+        uses.append(use)
+        cover[at] += use * gain
+        cover[cover > 1 - 1e-9] = 1.0
+    return patterns, np.array(uses), least
+
+
+def plan(histogram: dict[int, int], capacity: int, step: float = STEP) -> Plan:
     """Patterns for items counted by length (1..capacity)."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
     if not histogram:
         return Plan([])
-    lengths = np.array(sorted(histogram), dtype=np.int64)
-    counts = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    patterns: dict[tuple, float] = {}
-    weights = np.ones(len(lengths))
-    cover = np.zeros(len(lengths))
-    for _ in range(rounds):
-        pattern = tuple(_priced(lengths, weights / counts, counts, capacity))
-        at, times = np.array([i for i, _ in pattern]), np.array([a for _, a in pattern], dtype=float)
-        use = STEP / (times / counts[at]).max()  # the most covered length of the pattern gains STEP
-        patterns[pattern] = patterns.get(pattern, 0.0) + use
-        cover[at] += use * times / counts[at]
-        weights[at] *= np.exp(-use * times / counts[at] / STEP * 0.5)
-        weights /= weights.max()
-        weights = np.maximum(weights, 1e-12)
-    scale = 1.0 / max(np.median(cover), 1e-9)
-    left = counts.copy()
-    out: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    for pattern, use in sorted(patterns.items(), key=lambda x: (-x[1], x[0])):
-        n = int(use * scale)
-        n = min([n, *(int(left[i]) // a for i, a in pattern)])
+    every = np.array(sorted(histogram), dtype=np.int64)
+    left = np.array([histogram[int(x)] for x in every], dtype=np.int64)
+    total = int(left.sum())
+    out: Counter = Counter()
+    least = 0.0
+
+    def take(at: np.ndarray, times: np.ndarray, n: int) -> None:
         if n > 0:
-            for i, a in pattern:
-                left[i] -= n * a
-            out.append((tuple((int(lengths[i]), a) for i, a in pattern), n))
-    # the rest, longest first into the fullest container that takes it: short items are kept for the gaps
-    rooms: list[list[list[int]]] = [[] for _ in range(capacity + 1)]  # containers by the room they have left
-    open_rooms: list[int] = []  # the rooms that any container has, sorted
-    for i in range(len(lengths) - 1, -1, -1):
-        length = int(lengths[i])
-        for _ in range(int(left[i])):
-            k = bisect_left(open_rooms, length)
-            if k < len(open_rooms):
-                room = open_rooms[k]
-                items = rooms[room].pop()
-                if not rooms[room]:
-                    open_rooms.pop(k)
-            else:
-                room, items = capacity, []
-            items.append(length)
-            room -= length
-            if not rooms[room]:
-                insort(open_rooms, room)
-            rooms[room].append(items)
-    same = Counter(tuple(sorted(Counter(items).items())) for own in rooms for items in own)
-    out += sorted(same.items(), key=lambda x: (-x[1], x[0]))
-    return Plan(out)
+            left[at] -= n * times
+            out[tuple(zip(every[at].tolist(), times.tolist()))] += n
+
+    # solutions of what is left, as long as rounding them carries a part of it
+    while left.any():
+        there = np.flatnonzero(left)
+        patterns, uses, bound = _solved(every[there], left[there], capacity, step)
+        least = max(least, bound)
+        before, done = int(left.sum()), 0.0
+        # uses are rounded so that their sum stays what it is: a pattern that is used a third of a time is used once in three
+        for k in np.argsort(-uses, kind="stable"):
+            at, times = there[patterns[k][0]], patterns[k][1]
+            n = int(done + float(uses[k]) + 0.5) - int(done + 0.5)
+            done += float(uses[k])
+            take(at, times, min(n, int((left[at] // times).min())))
+        if (before - int(left.sum())) * PART < before:
+            break
+    rounded = total - int(left.sum())
+    # what rounding leaves: a pattern for each price, the longest items first
+    while left.any():
+        there = np.flatnonzero(left)
+        lengths = every[there]
+        share = lengths / capacity
+        at, times, _ = _priced(lengths, share * (1 + LONGEST * share), left[there], capacity)
+        take(there[at], times, int((left[there[at]] // times).min()))
+    return Plan(sorted(out.items(), key=lambda x: (-x[1], x[0])), least, rounded)
 
 
 def sized(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -150,42 +173,82 @@ def sized(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return documents.select("doc_id", token_count(F.col("text"), tokenizer).alias("tokens"))
 
 
-def packed(sizes: DataFrame, capacity: int, seed: int = 0) -> DataFrame:
-    """(doc_id, piece, start_token, tokens, container_id): where every piece of every item lies."""
-    spark = sizes.sparkSession
-    items = sizes.where("tokens > 0").withColumn("full", F.floor(F.col("tokens") / capacity).cast("bigint")).withColumn("rest", F.col("tokens") % capacity)
-    histogram = {int(r[0]): int(r[1]) for r in items.where("rest > 0").groupBy("rest").count().collect()}  # below capacity rows
-    solved = plan(histogram, capacity)
-    # per length: from which rank on which containers take it, and how many each
-    table: dict[int, list[tuple[int, int, int]]] = {}
-    seen: dict[int, int] = {}
-    base = 0
-    for pattern, n in solved.patterns:
-        for length, a in pattern:
-            table.setdefault(length, []).append((seen.get(length, 0), base, a))
-            seen[length] = seen.get(length, 0) + n * a
-        base += n
-    rows = [(length, [s for s, _, _ in x], [b for _, b, _ in x], [a for _, _, a in x]) for length, x in table.items()]
-    slots = spark.createDataFrame(rows, "rest bigint, starts array<bigint>, bases array<bigint>, times array<bigint>")
-    rests = ranked(items.where("rest > 0").select("doc_id", "full", "rest"), ["rest"], F.xxhash64("doc_id", F.lit(seed)))
-    rests = rests.join(slots, "rest").withColumn("k", F.expr("size(filter(starts, s -> s <= rank)) - 1"))
+SLOTS = "spec int, capacity bigint, rest bigint, starts array<bigint>, bases array<bigint>, times array<bigint>, containers bigint, bound double, items bigint, rounded bigint"
+
+
+def solved(histograms: DataFrame, tasks: int, step: float = STEP) -> DataFrame:
+    """From (spec, capacity, rest, n): of every length from which rank on which containers take it (``starts``,
+    ``bases``) and how many each (``times``); and of the whole spec its containers and bound. A spec's histogram has fewer than ``capacity`` rows."""
+
+    def apply(rows: pd.DataFrame) -> pd.DataFrame:
+        capacity, counts = int(rows["capacity"].iloc[0]), {int(x): int(n) for x, n in zip(rows["rest"], rows["n"])}
+        found = plan(counts, capacity, step)
+        table: dict[int, list[tuple[int, int, int]]] = {}
+        seen: dict[int, int] = {}
+        base = 0
+        for pattern, n in found.patterns:
+            for length, a in pattern:
+                table.setdefault(length, []).append((seen.get(length, 0), base, a))
+                seen[length] = seen.get(length, 0) + n * a
+            base += n
+        whole = (base, found.bound, sum(counts.values()), found.rounded)
+        out = [(rows["spec"].iloc[0], capacity, length, *map(list, zip(*x)), *whole) for length, x in table.items()]
+        return pd.DataFrame(out, columns=[x.split()[0] for x in SLOTS.split(", ")])
+
+    return histograms.repartition(tasks, "spec").groupBy("spec", "capacity").applyInPandas(apply, SLOTS)
+
+
+def _requests(specs: DataFrame) -> list[tuple[str, int]]:
+    found = sorted({(r["spec_name"], int(r["capacity_tokens"])) for r in specs.select("spec_name", "capacity_tokens").where("capacity_tokens IS NOT NULL").collect()}, key=str)  # requests
+    if any(capacity < 1 for _, capacity in found):
+        raise ValueError("capacity must be positive")
+    return found
+
+
+def _name(requests: list[tuple[str, int]]):
+    return F.get(F.array(*[F.lit(name).cast("string") for name, _ in requests]), F.col("spec")).alias("spec_name")
+
+
+PACKED = "spec_name string, container_id bigint, doc_id bigint, piece bigint, start_token bigint, tokens bigint"
+
+
+def planned(sizes: DataFrame, requests: list[tuple[str, int]]) -> tuple[DataFrame, DataFrame]:
+    """(items, slots): every item once for each spec with its full containers and rest, and the specs' solutions."""
+    wanted = F.array(*[F.struct(F.lit(i).alias("spec"), F.lit(capacity).cast("bigint").alias("capacity")) for i, (_, capacity) in enumerate(requests)])
+    items = sizes.where("tokens > 0").select("doc_id", "tokens", F.explode(wanted).alias("s")).select("s.*", "doc_id", F.floor(F.col("tokens") / F.col("s.capacity")).cast("bigint").alias("full"), (F.col("tokens") % F.col("s.capacity")).alias("rest"))
+    histograms = items.where("rest > 0").groupBy("spec", "capacity", "rest").agg(F.count("*").alias("n"))
+    return items, written(solved(histograms, 2 * len(requests)), "slots")
+
+
+def packed(sizes: DataFrame, requests: list[tuple[str, int]], seed: int = 0) -> DataFrame:
+    """(spec_name, container_id, doc_id, piece, start_token, tokens): where every piece of every item lies."""
+    if not requests:
+        return sizes.sparkSession.createDataFrame([], PACKED)
+    items, slots = planned(sizes, requests)
+    largest, documents = items.groupBy("spec", "capacity", "rest").count().agg(F.max("count"), F.sum("count")).first()
+    spec = ["spec", "capacity"]
+    rests = ranged(items.where("rest > 0").select(*spec, "rest", "doc_id", "full"), [*spec, "rest"], F.xxhash64("doc_id", F.lit(seed)), largest or 0)
+    rests = rests.join(slots.drop("containers"), [*spec, "rest"]).withColumn("k", F.expr("size(filter(starts, s -> s <= rank)) - 1"))
     place = F.expr("bases[k] + (rank - starts[k]) div times[k]")
-    rests = rests.select("doc_id", F.col("full").alias("piece"), (F.col("full") * capacity).alias("start_token"), F.col("rest").alias("tokens"), place.alias("container_id"))
-    # full containers are numbered behind the others, by documents in ranges
-    whole = items.where("full > 0").select("doc_id", "full")
-    order = ranked(whole.select(F.lit(0).alias("g"), "doc_id", "full", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece")), ["g"], F.xxhash64("doc_id", "piece", F.lit(seed)))
-    fulls = order.select("doc_id", F.col("piece").cast("bigint").alias("piece"), (F.col("piece") * capacity).cast("bigint").alias("start_token"), F.lit(capacity).cast("bigint").alias("tokens"), (F.col("rank") + base).alias("container_id"))
-    return rests.unionByName(fulls)
+    rests = rests.select("spec", place.alias("container_id"), "doc_id", F.col("full").alias("piece"), (F.col("full") * F.col("capacity")).alias("start_token"), F.col("rest").alias("tokens"))
+    # full containers are numbered behind the others: the numbers of a document's pieces follow each other
+    before = ranged(items.where("full > 0").select(*spec, "doc_id", "full"), spec, F.xxhash64("doc_id", F.lit(seed)), (documents or 0) // len(requests), F.col("full"), "before")
+    fulls = before.join(slots.groupBy(*spec).agg(F.max("containers").alias("containers")), spec, "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)))
+    fulls = fulls.select("spec", (F.coalesce("containers", F.lit(0)) + F.col("before") + F.col("piece")).alias("container_id"), "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("start_token"), F.col("capacity").alias("tokens"))
+    return rests.unionByName(fulls).select(_name(requests), "container_id", "doc_id", "piece", "start_token", "tokens")
 
 
 def pack(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZER, seed: int = 0) -> DataFrame:
-    """Every spec's containers. ``specs``: spec_name, capacity_tokens (a small table of requests)."""
-    sizes = written(sized(documents, tokenizer), "sizes")
-    out = None
-    for name, capacity in sorted((r["spec_name"], int(r["capacity_tokens"])) for r in specs.select("spec_name", "capacity_tokens").collect()):
-        part = packed(sizes, capacity, seed).withColumn("spec_name", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    columns = ["spec_name", "container_id", "doc_id", "piece", "start_token", "tokens"]
-    if out is None:
-        return documents.sparkSession.createDataFrame([], "spec_name string, container_id bigint, doc_id bigint, piece bigint, start_token bigint, tokens bigint")
-    return out.select(*columns)
+    """Every spec's containers. ``specs``: spec_name, capacity_tokens (a small table of requests; a null capacity is none)."""
+    return packed(written(sized(documents, tokenizer), "sizes"), _requests(specs), seed)
+
+
+def bounds(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(spec_name, capacity_tokens, items, rounded, containers, bound) of the rests: how many items the first rounded
+    solution carries, the containers used, and below how many no packing can come."""
+    requests = _requests(specs)
+    schema = "spec_name string, capacity_tokens bigint, items bigint, rounded bigint, containers bigint, bound double"
+    if not requests:
+        return documents.sparkSession.createDataFrame([], schema)
+    _, slots = planned(written(sized(documents, tokenizer), "sizes"), requests)
+    return slots.select(_name(requests), F.col("capacity").alias("capacity_tokens"), "items", "rounded", "containers", "bound").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm import conversations, entities, garbled, history, mixing, packing, residue, sentences
-from lorewell.session import table
+from lorewell.session import table, written
 
 
 def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +104,21 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lying.join(table(spark, sf_dir, "pack_specs"), "spec_name").select("spec_name", "capacity_tokens", "containers", "tokens", filled.alias("fill"))
 
 
+def p7_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the rests of every capacity: items, those that rounded solutions carry, containers, and the program's bound."""
+    return packing.bounds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"))
+
+
+def p7_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: documents placed, containers above capacity, documents cut without need, and pieces that don't join."""
+    lying = written(p7_containers(spark, sf_dir), "containers").join(F.broadcast(table(spark, sf_dir, "pack_specs")), "spec_name")
+    rooms = lying.groupBy("spec_name", "capacity_tokens", "container_id").agg(F.sum("tokens").alias("n"))
+    over = rooms.groupBy("spec_name", "capacity_tokens").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("overfull"))
+    own = lying.groupBy("spec_name", "capacity_tokens", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("n"), F.sum(F.col("start_token") - F.col("piece") * F.col("capacity_tokens")).alias("off"), F.max(F.col("start_token") + F.col("tokens")).alias("end"))
+    cut = own.groupBy("spec_name").agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity_tokens"))).alias("cut_without_need"), F.count_if((F.col("off") != 0) | (F.col("end") != F.col("n"))).alias("gaps"))
+    return over.join(cut, "spec_name").select("spec_name", F.col("capacity_tokens").cast("int").alias("capacity_tokens"), "documents", "overfull", "cut_without_need", "gaps")
+
+
 def p8_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn for every mix, and how often."""
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
@@ -115,6 +130,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mixed(table(spark, sf_dir, "documents"), targets), targets)
 
 
+def p8_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per request: whether documents were drawn, drawn more often than allowed, and how many of another source or of none."""
+    documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    drawn = written(mixing.mixed(documents, targets), "drawn")
+    real = drawn.join(documents.select("doc_id", F.col("source").alias("own")), "doc_id", "left").groupBy("mix_name", "source").agg(F.max("copies").alias("most"), F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("strangers"))
+    got = mixing.shares(drawn, targets).join(real, ["mix_name", "source"], "left")
+    return got.select("mix_name", "source", (F.col("tokens") > 0).alias("drawn"), (F.coalesce("most", F.lit(0)) > F.col("max_repeats")).alias("too_often"), F.coalesce("strangers", F.lit(0)).alias("strangers"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sentences as code point spans."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -122,7 +146,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_documents(documents, counts)
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_draws": p8_draws, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_bounds": p7_bounds, "p7_faults": p7_faults, "p8_draws": p8_draws, "p8_shares": p8_shares, "p8_faults": p8_faults, "p9_found": p9_found}
 SQL: dict[str, str] = {
     # \\x{...} spelt out for RE2: white space, controls, format characters and blanks that are letters or marks by class
     "p5_found": r"""
@@ -133,4 +157,9 @@ WITH m AS (SELECT channel_id, sender_id,
 s AS (SELECT channel_id, bool_or(fault) AS broken, count(DISTINCT CASE WHEN content THEN sender_id END) AS speakers FROM m GROUP BY 1)
 SELECT channel_id FROM s WHERE broken OR speakers < 2
 UNION SELECT id FROM channels WHERE id NOT IN (SELECT channel_id FROM s)""",
+    "p7_faults": """
+SELECT spec_name, CAST(capacity_tokens AS INTEGER) AS capacity_tokens, (SELECT count(*) FROM documents WHERE text <> '') AS documents,
+  CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS cut_without_need, CAST(0 AS BIGINT) AS gaps FROM pack_specs""",
+    "p8_faults": """
+SELECT mix_name, source, EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND d.text <> '') AS drawn, false AS too_often, CAST(0 AS BIGINT) AS strangers FROM mix_targets t""",
 }
