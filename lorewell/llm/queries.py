@@ -142,11 +142,25 @@ def p8_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sentences as code point spans."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = spark.sparkContext.broadcast(sentences.corpus_table(documents))
-    return sentences.split_documents(documents, counts)
+    return sentences.split_documents(documents, sentences.corpus_table(documents))
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_bounds": p7_bounds, "p7_faults": p7_faults, "p8_draws": p8_draws, "p8_shares": p8_shares, "p8_faults": p8_faults, "p9_found": p9_found}
+def p9_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all sentences of a language tag's documents: documents with text, spans outside the text, with white space at
+    an end or overlapping the next, and visible characters that no sentence has."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").where("text IS NOT NULL")
+    spans = p9_found(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char"))).alias("spans"))  # a document's own
+    rows = documents.join(spans, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start_char:int,end_char:int>>")))
+    piece = lambda x: F.substring(F.col("text"), x["start_char"] + 1, x["end_char"] - x["start_char"])
+    blank = lambda x: F.regexp_replace(x, r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]+", "")
+    wrong = F.size(F.filter("spans", lambda x: (x["start_char"] < 0) | (x["end_char"] > F.length("text")) | piece(x).rlike(r"^\s|\s$")))
+    crossing = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("spans") - 1, F.lit(1))), lambda i: F.coalesce(F.get("spans", i)["start_char"] < F.get("spans", i - 1)["end_char"], F.lit(False))))
+    lost = F.length(blank(F.col("text"))) - F.aggregate("spans", F.lit(0), lambda n, x: n + F.length(blank(piece(x))))
+    rows = rows.select("lang", wrong.alias("wrong"), crossing.alias("crossing"), lost.alias("lost"))
+    return rows.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("wrong").cast("bigint").alias("wrong"), F.sum("crossing").cast("bigint").alias("crossing"), F.sum("lost").cast("bigint").alias("lost"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_bounds": p7_bounds, "p7_faults": p7_faults, "p8_draws": p8_draws, "p8_shares": p8_shares, "p8_faults": p8_faults, "p9_found": p9_found, "p9_faults": p9_faults}
 SQL: dict[str, str] = {
     # \\x{...} spelt out for RE2: white space, controls, format characters and blanks that are letters or marks by class
     "p5_found": r"""
@@ -160,6 +174,8 @@ UNION SELECT id FROM channels WHERE id NOT IN (SELECT channel_id FROM s)""",
     "p7_faults": """
 SELECT spec_name, CAST(capacity_tokens AS INTEGER) AS capacity_tokens, (SELECT count(*) FROM documents WHERE text <> '') AS documents,
   CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS cut_without_need, CAST(0 AS BIGINT) AS gaps FROM pack_specs""",
+    "p9_faults": """
+SELECT lang, count(*) AS documents, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS crossing, CAST(0 AS BIGINT) AS lost FROM documents WHERE text IS NOT NULL GROUP BY lang""",
     "p8_faults": """
 SELECT mix_name, source, EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND d.text <> '') AS drawn, false AS too_often, CAST(0 AS BIGINT) AS strangers FROM mix_targets t""",
 }

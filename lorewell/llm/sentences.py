@@ -2,14 +2,22 @@
 
 A mark that could end a sentence is judged by its neighbourhood first (quotations, brackets, decimals, file names,
 list marks, speaker labels, the terminators of the script at hand). What is left are periods behind a word or a
-number. Whether the word is an abbreviation is taken from its unambiguous occurrences elsewhere in the same document;
-where the document has none or is at odds with itself, the counts over ALL documents decide; where those are too few,
-a short list of common abbreviations does. The same holds for words that start with a capital: a small letter behind an
-abbreviation that may close a sentence is a new sentence if that word usually starts one.
-
-Counts: of every word form w, in how many documents it has a period, a period with a small letter, a digit or a comma behind it, a
-period at the end of a paragraph, no period inside a line, and how often it starts a sentence. Only forms with at
-least one in ``RARITY`` of all words are kept, so the table sent to the executors never has more than ``RARITY`` rows.
+number. The document comes first: a word that has a comma behind its period somewhere in it (or a small letter, where
+sentences don't start with one), and never a paragraph's end nor stands without a period, is an abbreviation; a word that stands there without a period
+and never so is none, unless it is known as a title or the like, which are written both ways. Where the document has no such place, or is at odds with itself, the counts over ALL documents
+decide: ``verdict`` weighs four kinds of words (titles, other abbreviations, those that may close a sentence, ordinary
+words) by how likely each makes the counts, with what a short list of abbreviations says as the prior. No number of
+occurrences switches anything; more of them only weigh more.
+
+The word behind an abbreviation is judged in the same way: one that the document also has in small letters and never
+capitalised inside a sentence is no proper name, one that it has capitalised inside sentences only is one; else the
+corpus tells if it usually starts a sentence. A common word with a capital behind an abbreviation that isn't a title
+starts a sentence; a small letter behind an abbreviation that may close one does so if the word usually starts one.
+
+Counts: of every form, in how many documents it has a period, a period with a small letter, a digit or a comma behind
+it, a period at a paragraph's end, no period, a capital at a sentence's start, and any place at all. All forms count.
+Decisions other than those a form has by itself are sent to the executors if they are at most ``TABLE_ROWS``; beyond
+that every document's forms are joined to them instead, with the same results.
 
 Defined results: null, empty and blank documents have no sentences; spans never overlap, have no white space at
 either end and together cover every other character; a document that is there twice gives its sentences twice;
@@ -18,15 +26,22 @@ texts of any length are handled whole; lang is not used, as it is often wrong; o
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
+from math import lgamma
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RARITY = 200_000
+from lorewell.session import written
+
+TABLE_ROWS = 200_000
 SPAN = "doc_id bigint, start_char int, end_char int"
 
 # Common abbreviations. Never at the end of a sentence; and those that may close one.
@@ -49,45 +64,23 @@ _FINAL = regex.compile(r"[.!?…。！？؟।॥;:][\"”“»」』’)\]）]*
 _ORDINAL_BEFORE = frozenset("am der die das den dem des vom zum im beim ab bis seit nach the na v ve od do".split())
 
 
-def _key(word: str) -> str:
-    return word.lower().rstrip(".")
+#: Combining marks as ranges of a character class: letters of many scripts carry them.
+_MARKS = "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in (lambda xs: np.split(xs, np.flatnonzero(np.diff(xs) > 1) + 1))(np.array([c for c in range(0x300, 0x10000) if unicodedata.category(chr(c))[0] == "M"])))
+_FORM = rf"(?:[^\W\d_]|[{_MARKS}])[\w{_MARKS}’'\-]*(?:\.(?:[^\W\d_]|[{_MARKS}])[\w{_MARKS}\-]*)*"
+_DOTTED = re.compile(rf"(?<![\w{_MARKS}])({_FORM})\.(?!\.\.)(?=[\s\"”“»」)\],]|\Z)")
+_UNDOTTED = re.compile(rf"(?<![\w{_MARKS}]){_FORM}(?=[^.\n\w{_MARKS}’'\-])")
+_EVERY = re.compile(rf"(?<![\w{_MARKS}]){_FORM}")
+_START = re.compile(rf"(?:\A|[!?…]|(?<=[^\W\d_]{{4}})\.(?=\s))[^\w.!?…]*({_FORM})")
+_INSIDE = re.compile(rf"(?<=[\w,] )({_FORM})")
+_SMALL_START = regex.compile(r"\A\s*\p{Ll}|[!?][\"”“»」)\]]*\s+\p{Ll}|(?m:^(?:\[[^\]\n]{1,24}\]|<[^>\n]{1,48}>|\d{1,3}[.)]|[-•*–])?[^\S\n]*(?:[^\n]{1,48}?[:>\]])?[^\S\n]+\p{Ll})")
+_SMALL_WORD = regex.compile(r"\p{Ll}+(?=[\s,;:!?)]|$)")
+_PARAGRAPH_END = regex.compile(r"[\"”“»)]*[^\S\n]*(?:\n\s*\n|$)")
+_NUMBERED = re.compile(r"\d{1,2}\.")
+_IS_MARK = regex.compile(r"\p{M}")
 
 
-def word_counts(text: str) -> Counter:
-    """(form, what) counts of one text; what: dot, inner, end, plain, start, any."""
-    out: Counter = Counter()
-    n = len(text)
-    prev_dot = True
-    chain = ""
-    last = 0
-    for m in _WORD.finditer(text):
-        w, e = _key(m.group()), m.end()
-        gap = text[last : m.start()]
-        if gap.strip() or "\n" in gap:
-            chain = ""
-        starts = prev_dot and m.group()[0].isupper()
-        out[w, "any"] += 1
-        if starts:
-            out[w, "start"] += 1
-        if e < n and text[e] == "." and text[e : e + 3] != "...":
-            form = chain + w
-            rest = text[e + 1 : e + 60]
-            if not rest or rest[0].isspace() or rest[0] in "\"”“»」)],":
-                body = rest.lstrip()
-                out[form, "dot"] += 1
-                if not body or regex.match(r"[\"”“»)]*[^\S\n]*(?:\n\s*\n|$)", rest) or rest[0] in ")»" or _EMOJI.match(rest):
-                    out[form, "end"] += 1
-                elif rest[0] == "," or body[0].islower() or body[0].isdigit():
-                    out[form, "inner"] += 1
-            chain = f"{form}." if _initial(w) and rest[:1] == " " else ""
-            last = e + 1
-            prev_dot = bool(rest[:1].isspace()) and len(w) > 3
-        else:
-            if text[e : e + 1] not in ("\n", ""):
-                out[w, "plain"] += 1
-            chain, last = "", e
-            prev_dot = e < n and text[e] in "!?…"
-    return out
+def _key(word: str) -> str:
+    return word.lower().rstrip(".")
 
 
 def _initial(w: str) -> bool:
@@ -95,67 +88,178 @@ def _initial(w: str) -> bool:
     return len(w) == 1 or (len(w) == 2 and w[0] == w[1])
 
 
+class Evidence:
+    """What one text says about its forms: ``dotted`` (how often with a period, with more of the sentence behind it, at a
+    paragraph's end, with what can only be more of the sentence), and the forms without a period, in small letters, capitalised inside and at starts of sentences."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.dotted: dict[str, list[int]] = {}
+        chain, last = "", -1
+        for m in _DOTTED.finditer(text):
+            word, e = m.group(1).lower(), m.end()
+            form = chain + word if m.start() == last + 1 and text[last : last + 1] == " " else word
+            rest = text[e : e + 60]
+            body = rest.lstrip()
+            ends = not body or bool(_PARAGRAPH_END.match(rest)) or rest[0] in ")»" or bool(_EMOJI.match(rest))
+            inside = not ends and (rest[0] == "," or body[0].islower() or body[0].isdigit())
+            firm = inside and (rest[0] == "," or (not self.small and bool(_SMALL_WORD.match(body))))
+            for f in {form, word}:  # two initials may be one abbreviation, or two
+                row = self.dotted.setdefault(f, [0, 0, 0, 0])
+                self.dotted[f] = [row[0] + 1, row[1] + inside, row[2] + ends, row[3] + firm]
+            chain, last = (f"{form}.", e) if _initial(word) else ("", -1)
+
+    @cached_property
+    def small(self) -> bool:
+        """Whether a sentence starts in a small letter here, so that one behind a period tells nothing."""
+        return bool(_SMALL_START.search(self.text))
+
+    @cached_property
+    def plain(self) -> set[str]:
+        return set(_UNDOTTED.findall(self.text.lower()))
+
+    @cached_property
+    def exact(self) -> set[str]:
+        return set(_EVERY.findall(self.text))
+
+    @cached_property
+    def inside(self) -> set[str]:
+        """Forms, in small letters, that are capitalised behind a word or a comma."""
+        return {w.lower() for w in _INSIDE.findall(self.text) if w[0].isupper()}
+
+    @cached_property
+    def starts(self) -> set[str]:
+        return {w.lower() for w in _START.findall(self.text) if w[0].isupper()}
+
+    def common(self, word: str) -> bool | None:
+        """Whether the document has the word as an ordinary one (True) or as a proper name (False); None: it doesn't say."""
+        low, name = word.lower() in self.exact, word.lower() in self.inside
+        return None if low == name else low
+
+
 _WHAT = ["dot", "inner", "end", "plain", "start", "any"]
 
 
-def corpus_table(documents: DataFrame) -> dict[str, tuple[int, ...]]:
-    """Counts by form over all documents: summed in each partition first, then by form; at most ``RARITY`` forms."""
+def corpus_counts(documents: DataFrame) -> DataFrame:
+    """(form, dot, inner, end, plain, start, any) over all documents: summed in each partition first, then by form."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        totals = {w: Counter() for w in _WHAT}
 
         def flush() -> pd.DataFrame:
-            forms: dict[str, list[int]] = {}
-            for (form, what), n in total.items():
-                forms.setdefault(form, [0] * len(_WHAT))[_WHAT.index(what)] += n
-            total.clear()
-            return pd.DataFrame([[k, *v] for k, v in forms.items()], columns=["form", *_WHAT])
+            forms = list(set().union(*totals.values()))
+            out = pd.DataFrame({"form": pd.Series(forms, dtype="object"), **{w: pd.Series([totals[w][f] for f in forms], dtype="int64") for w in _WHAT}})
+            for c in totals.values():
+                c.clear()
+            return out
 
         for batch in batches:
             for text in batch["text"]:
-                total.update(word_counts(text).keys())  # in how many documents: one that repeats itself says no more
-            if len(total) > 400_000:
+                doc = Evidence(text)
+                # in how many documents: one that repeats itself says no more
+                totals["dot"].update(doc.dotted.keys())
+                totals["inner"].update(f for f, x in doc.dotted.items() if x[1])
+                totals["end"].update(f for f, x in doc.dotted.items() if x[2])
+                totals["plain"].update(doc.plain)
+                totals["start"].update(doc.starts)
+                totals["any"].update(set(map(str.lower, doc.exact)))
+            if len(totals["any"]) > 200_000:
                 yield flush()
         yield flush()
 
     rows = documents.select("text").where(F.col("text").isNotNull()).mapInPandas(partial, "form string, " + ", ".join(f"`{w}` bigint" for w in _WHAT))
-    summed = rows.groupBy("form").agg(*[F.sum(w).alias(w) for w in _WHAT])
-    total = summed.agg(F.sum("any")).first()[0] or 0
-    kept = summed.where(F.greatest("dot", "any") * RARITY > total).where((F.col("dot") > 0) | (F.col("start") > 0))
-    return {r[0]: tuple(r[1:]) for r in kept.collect()}
+    return rows.groupBy("form").agg(*[F.sum(w).alias(w) for w in _WHAT])
+
+
+TITLE, INSIDE, MAY_CLOSE, WORD = range(4)
+#: By kind, how a form's shares are spread (parameters of beta distributions): of periods at a paragraph's end, of those
+#: with more of the sentence behind them, and of places without a period. The last kind's paragraph ends are the corpus's own.
+_SHARES = {TITLE: ((0.2, 60), (0.5, 20), (1, 8)), INSIDE: ((0.2, 60), (2, 2), (1, 8)), MAY_CLOSE: ((1, 10), (3, 3), (1, 8)), WORD: (None, (0.4, 4), (1, 1))}
+
+
+def _likely(k: int, n: int, a: float, b: float) -> float:
+    """Log likelihood of ``k`` of ``n`` where the share follows a beta distribution."""
+    return lgamma(k + a) + lgamma(n - k + b) - lgamma(n + a + b) + lgamma(a + b) - lgamma(a) - lgamma(b)
+
+
+def _priors(form: str) -> tuple[float, float, float, float]:
+    """Log odds of the four kinds before any count."""
+    if form in INNER:
+        return 4.0, 5.0, 0.0, 0.0
+    if form in CLOSING:
+        return -8.0, -8.0, 2.0, 0.0
+    if len(form) == 1 and form.isalpha():
+        return 3.0, 3.0, 0.0, 0.0
+    if "." in form:
+        return 0.0, 2.0, 3.0, 0.0
+    return -4.0, -4.0, -4.0, 0.0
+
+
+def verdict(form: str, dot: int = 0, inner: int = 0, end: int = 0, plain: int = 0, ends: float = 0.2) -> int:
+    """The kind of a form by its counts over all documents; ``ends``: the share of all periods at a paragraph's end."""
+    best = []
+    for kind, prior in enumerate(_priors(form)):
+        e, i, p = _SHARES[kind]
+        e = e or (4 * ends, 4 * (1 - ends))
+        best.append(prior + _likely(end, dot, *e) + _likely(min(inner, dot), dot, *i) + _likely(plain, plain + dot, *p))
+    return max(range(4), key=lambda k: (best[k], k))
+
+
+def corpus_table(documents: DataFrame) -> DataFrame:
+    """(form, kind, starts): decisions of the corpus that a form doesn't have by itself, as a written table."""
+    counts = written(corpus_counts(documents), "forms")
+    dots, ends_ = counts.agg(F.sum("dot"), F.sum("end")).first()
+    share = min(0.9, max(0.02, (ends_ or 0) / dots)) if dots else 0.2
+
+    @F.pandas_udf("int")
+    def kind(form: pd.Series, dot: pd.Series, inner: pd.Series, end: pd.Series, plain: pd.Series) -> pd.Series:
+        return pd.Series([verdict(*x, share) for x in zip(form, dot, inner, end, plain)], dtype="int32")
+
+    @F.pandas_udf("int")
+    def own(form: pd.Series) -> pd.Series:
+        return pd.Series([verdict(f, ends=share) for f in form], dtype="int32")
+
+    starts = F.col("start") > 0.5 * (F.col("any") + 2)
+    judged = counts.where((F.col("dot") > 0) | starts).select("form", kind("form", "dot", "inner", "end", "plain").alias("kind"), own("form").alias("own"), starts.alias("starts"))
+    return written(judged, "verdicts").where("kind <> own OR starts").select("form", "kind", "starts")
 
 
 class Splitter:
-    """Splits texts by the rules above, with a table of corpus counts."""
+    """Splits texts by the rules above; ``table``: form -> (kind, starts), the corpus's decisions."""
 
-    def __init__(self, table: dict[str, tuple[int, ...]]):
+    def __init__(self, table: dict[str, tuple[int, bool]]):
         self.table = table
-
-    def _class(self, form: str, doc: Counter) -> str:
-        """``inner`` (never ends a sentence), ``closing`` (may), ``word`` (a period behind it ends one)."""
-        dot, inner, end, plain, _, _ = self.table.get(form, (0,) * 6)
-        d_inner, d_end, d_plain = doc[form, "inner"], doc[form, "end"], doc[form, "plain"]
-        if d_inner and not d_end and not d_plain and (dot < 12 or inner > 0.3 * dot):
-            return "closing" if end > 0.01 * dot or (dot < 12 and form in CLOSING) else "inner"
-        if dot >= 12:
-            if end <= 0.005 * dot and (dot >= 40 or inner or form in INNER) and plain <= 4 * dot and not (form in CLOSING and dot < 400):
-                return "inner"
-            if inner > 0.25 * dot and plain < dot:
-                return "closing"
-            return "word"
-        if form in INNER and not d_plain:
-            return "inner"
-        if form in CLOSING:
-            return "closing"
-        if len(form) == 1 and form.isalpha() and not d_plain and not plain:
-            return "inner"
-        if "." in form and not end:
-            return "closing"
-        return "word"
+        self.memo: dict[str, int] = {}
+
+    def _corpus(self, form: str) -> int:
+        if form in self.table:
+            return self.table[form][0]
+        if form not in self.memo:
+            if len(self.memo) > 100_000:
+                self.memo.clear()
+            self.memo[form] = verdict(form)
+        return self.memo[form]
+
+    def _class(self, form: str, doc: Evidence) -> int:
+        """The kind of a form in this document."""
+        _, _, end, inner = doc.dotted.get(form, (0, 0, 0, 0))
+        plain = form in doc.plain
+        corpus = self._corpus(form)
+        if inner and not end and not plain:
+            return corpus if corpus != WORD else INSIDE
+        if plain and not inner:  # titles are written both ways
+            return corpus if ((corpus == TITLE or _initial(form)) and not end) or form in INNER or form in CLOSING else WORD
+        if end and not inner:
+            return corpus if corpus in (MAY_CLOSE, WORD) else MAY_CLOSE
+        return corpus
 
     def _starts(self, word: str) -> bool:
-        row = self.table.get(_key(word))
-        return bool(row) and row[4] > 0.5 * row[5] and row[4] >= 3
+        return self.table.get(_key(word), (WORD, False))[1]
+
+    def _common(self, word: str, doc: Evidence) -> bool:
+        """Whether a capitalised word is an ordinary one."""
+        said = doc.common(word)
+        return self._starts(word) if said is None else said
 
     # --- segments: what line breaks alone decide
 
@@ -219,7 +323,7 @@ class Splitter:
     def spans(self, text: str | None) -> list[tuple[int, int]]:
         if not text or text.isspace():
             return []
-        doc = word_counts(text)
+        doc = Evidence(text)
         out: list[tuple[int, int]] = []
         for start, body, end in self._segments(text):
             cuts = self._cuts(text, body, end, doc)
@@ -235,7 +339,7 @@ class Splitter:
                 a = c
         return out
 
-    def _cuts(self, text: str, body: int, end: int, doc: Counter) -> list[int]:
+    def _cuts(self, text: str, body: int, end: int, doc: Evidence) -> list[int]:
         cuts: list[int] = []
         i = body
         first = body  # where the current sentence starts
@@ -297,7 +401,7 @@ class Splitter:
     def _run_on(text: str, p: int, j: int, end: int) -> bool:
         """A missing space: a word or number, the mark, and a word that starts with a capital or has no case."""
         back, ahead = text[max(0, p - 3) : p], text[j : min(end, j + 3)]
-        if len(back) < 2 or len(ahead) < 2 or not (back[-1].isalnum() or regex.match(r"\p{M}", back[-1])):
+        if len(back) < 2 or len(ahead) < 2 or not (back[-1].isalnum() or _IS_MARK.match(back[-1])):
             return False
         if ahead[0].isupper():
             return not back[-1].isupper() and not back[-2] == "." and (ahead[1].islower() or ahead[1].isspace())
@@ -328,7 +432,7 @@ class Splitter:
                 depth += 1
         return None
 
-    def _after_group(self, text: str, first: int, p: int, close: int, end: int, doc: Counter) -> int | None:
+    def _after_group(self, text: str, first: int, p: int, close: int, end: int, doc: Evidence) -> int | None:
         """A quotation or bracket with its own final mark: does the sentence end with it?"""
         inside = text[p + 1 : close].rstrip()
         if not inside or inside[-1] not in ".!?…。！？؟।" and not (inside[-1] == ";" and "Ͱ" <= inside[-2:-1] <= "Ͽ"):
@@ -364,9 +468,9 @@ class Splitter:
             return None
         return j if ahead[0].isupper() or ahead[0] in "¿¡„“«(" else None
 
-    def _period_ends(self, text: str, body: int, p: int, end: int, doc: Counter) -> bool:
+    def _period_ends(self, text: str, body: int, p: int, end: int, doc: Evidence) -> bool:
         k = p
-        while k > body and (text[k - 1].isalnum() or text[k - 1] in "-’'." or regex.match(r"\p{M}", text[k - 1])):
+        while k > body and (text[k - 1].isalnum() or text[k - 1] in "-’'." or _IS_MARK.match(text[k - 1])):
             k -= 1
         token = text[k:p]
         ahead = text[p + 1 : end].lstrip()
@@ -383,30 +487,32 @@ class Splitter:
             tail = token.rsplit("-", 1)[1]
             token = token if "." in token else tail if len(tail) > 1 and token.lower() not in INNER else token
         form = _key(token)
-        words = text[body:k].split()
+        words = text[max(body, k - 40) : k].split()
         back = words[-1] if words else ""
         if back.endswith(".") and back[:-1].isalpha() and _initial(back[:-1].lower()):
             chain = f"{_key(back)}.{form}"
-            if chain in self.table and self.table[chain][0] >= 3 or chain in INNER or chain in CLOSING:
+            if chain in self.table or chain in INNER or chain in CLOSING:
                 form = chain
         kind = self._class(form, doc)
-        if kind == "inner":
-            return False
-        if kind == "word":
+        if kind == WORD:
             return True
+        word = _WORD.match(plain)
+        if kind == TITLE:
+            return False
+        if kind == INSIDE:
+            return bool(word) and nxt.isupper() and self._common(word.group(), doc) and self._starts(word.group())
         if nxt.isupper() or nxt.isdigit() or _EMOJI.match(ahead) or nxt in "„“«¿¡(\"[<":
             return True
         if nxt.islower():
-            word = _WORD.match(plain)
             return bool(word) and self._starts(word.group())
         return not (nxt in ",;:—–-" or nxt.isalpha())
 
-    def _number_ends(self, text: str, body: int, k: int, token: str, nxt: str, doc: Counter, plain: str) -> bool:
+    def _number_ends(self, text: str, body: int, k: int, token: str, nxt: str, doc: Evidence, plain: str) -> bool:
         words = text[max(body, k - 40) : k].split()
         back = words[-1] if words else ""
-        referred = back.endswith((".", "º", "№", "#")) and not back[:-1].isdigit() and self._class(_key(back[:-1]), doc) == "inner" or back.endswith(("º", "№"))
+        referred = back.endswith((".", "º", "№", "#")) and not back[:-1].isdigit() and self._class(_key(back[:-1]), doc) in (TITLE, INSIDE) or back.endswith(("º", "№"))
         if nxt.isdigit():
-            return referred and not regex.match(r"\d{1,2}\.", plain)
+            return referred and not _NUMBERED.match(plain)
         if referred:
             return True
         if nxt.islower():
@@ -420,13 +526,46 @@ class Splitter:
 _WORDLIKE = regex.compile(r"[\p{L}\p{N}]")
 
 
-def split_documents(documents: DataFrame, table) -> DataFrame:
-    """One row per sentence of every document. ``table``: a broadcast of ``corpus_table``."""
+def _forms_of(text: str) -> list[str]:
+    """The forms of a text that a decision of the corpus can concern."""
+    doc = Evidence(text)
+    return sorted(doc.dotted.keys() | {w.lower().rstrip(".") for w in _BEHIND.findall(text)} | {p for f in doc.dotted for p in f.rsplit("-", 1)[1:]})
+
+
+_BEHIND = re.compile(rf"[.)\]\"”“»」]\s+({_FORM})")
+
+
+def split_documents(documents: DataFrame, table: DataFrame, most: int = TABLE_ROWS) -> DataFrame:
+    """One row per sentence of every document. ``table``: ``corpus_table``; more than ``most`` rows are joined."""
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull())
+
+    def spans(splitter: Splitter, ids, texts) -> pd.DataFrame:
+        found = [(d, s, e) for d, t in zip(ids, texts) for s, e in splitter.spans(t)]
+        return pd.DataFrame(found, columns=["doc_id", "start_char", "end_char"])
+
+    if table.count() <= most:
+        sent = documents.sparkSession.sparkContext.broadcast({r["form"]: (r["kind"], r["starts"]) for r in table.collect()})
+
+        def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            splitter = Splitter(sent.value)
+            for batch in batches:
+                yield spans(splitter, batch["doc_id"], batch["text"])
+
+        return rows.mapInPandas(apply, SPAN)
+
+    @F.pandas_udf("array<string>")
+    def forms(texts: pd.Series) -> pd.Series:
+        return pd.Series([_forms_of(t) for t in texts])
+
+    # a text is known by its hashes: equal texts have equal forms
+    keyed = rows.withColumn("h", F.xxhash64("text")).withColumn("g", F.crc32("text"))
+    asked = keyed.select("h", "g", F.explode(forms("text")).alias("form")).distinct()
+    told = asked.join(table, "form").groupBy("h", "g").agg(F.collect_list(F.struct("form", "kind", "starts")).alias("told"))
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        splitter = Splitter(table.value)
+    def apply_told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, s, e) for d, t in zip(batch["doc_id"], batch["text"]) for s, e in splitter.spans(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start_char", "end_char"])
+            for d, t, own in zip(batch["doc_id"], batch["text"], batch["told"]):
+                own = {} if own is None else {x["form"]: (x["kind"], x["starts"]) for x in own}
+                yield spans(Splitter(own), [d], [t])
 
-    return documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(apply, SPAN)
+    return keyed.join(told, ["h", "g"], "left").select("doc_id", "text", "told").mapInPandas(apply_told, SPAN)

@@ -484,12 +484,39 @@ def test_spans_cover_everything(text):
     assert not text[at:].strip()
 
 
+def test_the_document_comes_first():
+    firm = {"xyz": (sentences.WORD, False), "abc": (sentences.INSIDE, False)}
+    assert split("The xyz. Beta is here. We took xyz., too.", firm) == ["The xyz. Beta is here.", "We took xyz., too."]  # a comma behind the period
+    assert split("See abc. Beta now. The abc is good.", firm) == ["See abc.", "Beta now.", "The abc is good."]  # and a place without one
+    assert split("See abc. Beta now.", firm) == ["See abc. Beta now."]
+    starts = firm | {"then": (sentences.WORD, True), "delta": (sentences.WORD, True)}
+    assert split("Five abc. Then we left.", starts) == ["Five abc.", "Then we left."]  # a common word
+    assert split("Five abc. Delta left, so Delta won.", starts) == ["Five abc. Delta left, so Delta won."]  # a proper name here
+
+
+def test_verdicts_have_no_switches():
+    kinds = [sentences.verdict("zkr", n, 0, 0, 0) for n in range(1, 400)]
+    assert kinds[0] == sentences.WORD and kinds[-1] == sentences.TITLE and sum(a != b for a, b in zip(kinds, kinds[1:])) == 1
+    for scale in (1, 10, 1000):
+        assert sentences.verdict("dům", 30 * scale, 3 * scale, 9 * scale, 40 * scale) == sentences.WORD
+        assert sentences.verdict("approx", 30 * scale, 30 * scale, 0, 0) == sentences.INSIDE
+
+
 def test_sentence_frames(spark):
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*CORPUS, None, "", "Vezmi např. stan atd. Zítra přijde. " * 3000])], "doc_id bigint, text string, form string")
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*CORPUS, None, "", "Vezmi např. stan atd. Zítra přijde. " * 3000, "Sejdeme se v pol. Karel přijde, říkal pol., že ano.", CORPUS[0]])], "doc_id bigint, text string, form string")
     table = sentences.corpus_table(df)
-    counts = spark.sparkContext.broadcast(table)
-    rows = sentences.split_documents(df, counts)
+    rows = sentences.split_documents(df, table).cache()
     assert rows.where("doc_id = 0").count() == 3
     assert rows.where(F.col("doc_id") == len(CORPUS) + 2).count() == 6000
     assert rows.where(F.col("doc_id").isin(len(CORPUS), len(CORPUS) + 1)).count() == 0
-    assert sentences.corpus_table(df.limit(0)) == {}
+    joined = sentences.split_documents(df, table, most=-1)  # a table too large to send
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, rows.collect()))
+    none = df.limit(0)
+    assert sentences.split_documents(none, sentences.corpus_table(none)).count() == 0
+
+
+def test_sent_and_joined_tables_agree(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    table = sentences.corpus_table(df)
+    sent, joined = sentences.split_documents(df, table), sentences.split_documents(df, table, most=-1)
+    assert sent.exceptAll(joined).count() == 0 and sent.count() == joined.count() > 0
