@@ -51,6 +51,15 @@ def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _accounts(spark, sf_dir).select("user_id_a", "user_id_b", F.round("confidence", 6).alias("confidence"))
 
 
+def p3_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per linked account: its person (the least account id) and how many links it has."""
+    users = table(spark, sf_dir, "users")
+    names = users.select(F.col("name").alias("text")).unionByName(users.select(F.col("display_name").alias("text")))
+    links, classes = entities.persons(entities.matched(users, spark.sparkContext.broadcast(garbled.fit_letters(names))))
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+    return classes.join(ends, "node").select(F.col("node").alias("user_id"), F.col("root").alias("class_id"), "links")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that repeat a message which arrived before, with its first arrived row; the runs come in eight batches."""
     messages = table(spark, sf_dir, "messages")
@@ -160,7 +169,7 @@ def p9_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("wrong").cast("bigint").alias("wrong"), F.sum("crossing").cast("bigint").alias("crossing"), F.sum("lost").cast("bigint").alias("lost"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_bounds": p7_bounds, "p7_faults": p7_faults, "p8_draws": p8_draws, "p8_shares": p8_shares, "p8_faults": p8_faults, "p9_found": p9_found, "p9_faults": p9_faults}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_matches": p3_matches, "p3_people": p3_people, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_bounds": p7_bounds, "p7_faults": p7_faults, "p8_draws": p8_draws, "p8_shares": p8_shares, "p8_faults": p8_faults, "p9_found": p9_found, "p9_faults": p9_faults}
 SQL: dict[str, str] = {
     # \\x{...} spelt out for RE2: white space, controls, format characters and blanks that are letters or marks by class
     "p5_found": r"""

@@ -115,7 +115,26 @@ def test_large_blocks_are_compared_whole(spark):
     n = len(rows)
     rows += [(n, "c", "novak", "bob", ""), (n + 1, "d", "novak", "robert", ""), (n + 2, "e", "", "", "novak")]
     got = wanted_pairs(spark, rows)
-    assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1]}
+    might = lambda a, b: not a[3] or not b[3] or entities._given_alike(a[3], b[3]) > 0
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and might(a, b)}
+    assert want <= got and (n, n + 1) in got and all((i, n + 2) in got for i in range(n + 2))
+    assert (0, n + 1) not in got  # given names with nothing in common don't meet
+
+
+@given(st.text("abcde", min_size=1, max_size=9), st.text("abcde", min_size=1, max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_like_given_names_share_a_tag(a, b):
+    for x, y in ((a, b), (a, a[:3]), (a, a[:-1] + "e"), (a, "x" + a[1:]), ("bob", "robert"), ("pepa", "josef")):
+        if y and entities._given_alike(x, y) > 0.8 or (y and entities._given_alike(x, y) and len(x) > 3 and len(y) > 3):
+            assert entities._given_tags(x) & entities._given_tags(y), (x, y)
+
+
+def test_confidences_of_implied_pairs(spark):
+    pairs = [(1, 2, "a", "b", None, [9, 9, 5, 5], 0.9), (2, 3, "b", "c", None, [9, 9, 5, 5], 0.8), (3, 4, "c", "d", None, [9, 9, 5, 5], 0.7), (5, 6, "a", "b", 0.0, [9, 9, 5, 5], 0.0)]
+    scored = spark.createDataFrame(pairs, "a bigint, b bigint, pa string, pb string, known double, v array<int>, posterior double")
+    users = spark.createDataFrame([(i, p) for i, p in enumerate("?abcdab")], "id bigint, platform string")
+    got = {(r[0], r[1]): round(r[2], 6) for r in entities.linked(scored, users).collect()}
+    assert got == {(1, 2): 0.9, (2, 3): 0.8, (3, 4): 0.7, (1, 3): 0.72, (2, 4): 0.56, (1, 4): 0.504}
 
 
 def test_long_handles_are_cut_whole(spark):
