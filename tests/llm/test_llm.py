@@ -138,7 +138,7 @@ def test_confidences_of_implied_pairs(spark):
 
 
 def test_long_handles_are_cut_whole(spark):
-    rows = [(1, "a", "", "", "friederikerimetinsky"), (2, "b", "rimetinski", "friederike", ""), (3, "a", "", "", "abcdefghijklmnovakxyzuvw"), (4, "b", "novak", "jan", "")]
+    rows = [(1, "a", "", "", "friederikerimetinsky"), (2, "b", "rimetinski", "friederike", ""), (3, "a", "", "", "abcdefghjanlmnovakxyzuvw"), (4, "b", "novak", "jan", "")]
     assert wanted_pairs(spark, rows) == {(1, 2), (3, 4)}
 
 
@@ -198,20 +198,48 @@ def test_repeats_against_brute_force(spark):
         rows.append((i, rng.randint(1, 4), rng.choice([1, 2]), rng.choice([7, 8]), rng.choice([None, i, i, i // 3]), rng.choice([None, f"k{i // 2}"]), T + rng.choice([0, 1500, 3_600_000, 59_500, 86_400_000]) + rng.randint(0, 3) * 1000, t, "x"))
     rows += [(900, 4, 1, 7, 900, None, T + 10, "<b>To je   SKVELE!</b> 😀", "x"), (901, 4, 1, 7, 901, None, None, "to je skvělé", "x"), (902, 4, None, 7, 1, None, T, "ok", "x")]
     df = spark.createDataFrame(rows, MESSAGES)
-    counts = spark.sparkContext.broadcast(model())
+    history_model = lambda *_: model()
     norm = history.Normaliser(garbled.Restorer(garbled.LetterModel(model())))
-    got = {tuple(r) for r in history.repeats(df, counts, [[1], [2, 3], [4]], parts=4).collect()}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(history.History, "letters", history_model)
+        patch.setattr(history, "FAN", 2)  # segments are merged, too
+        got = {tuple(r) for r in history.repeats(df, [[1], [2, 3], [4]], parts=4).collect()}
     assert got == brute_repeats(rows, norm)
-    assert history.repeats(df.limit(0), counts, [], parts=4).count() == 0
+    assert history.repeats(df.limit(0), [], parts=4).count() == 0
+    assert history.repeats(df.limit(0), [[1], [2]], parts=4).count() == 0
 
 
 def test_many_copies_cost_no_pairs(spark):
     df = spark.range(20_000).select(F.col("id").alias("row_id"), F.lit(1).alias("run_id"), F.lit(1).alias("channel_id"), F.lit(2).alias("sender_id"), F.lit(3).alias("message_id"), F.lit("k").alias("source_key"), F.lit(T).alias("timestamp"), F.lit("copy").alias("text"))
-    counts = spark.sparkContext.broadcast(np.zeros(garbled.BUCKETS, dtype="float32"))
-    out = history.repeats(df, counts, [[1]], parts=4)
+    out = history.repeats(df, [[1]], parts=4)
     assert out.agg(F.count("*"), F.min("row_id_a"), F.max("row_id_a")).first() == (19_999, 0, 0)
 
 
+def batch_of(spark, run, n, again=()):
+    rows = [(run * 100_000 + i, run, 1, i % 50, run * 100_000 + i, None, T + run * 86_400_000 + i * 60_000, f"message {run} number {i} of the day", "x") for i in range(n)]
+    rows += [(run * 100_000 + 90_000 + k, run, 1, i % 50, old * 100_000 + i, None, T, "anything", "x") for k, (old, i) in enumerate(again)]
+    return spark.createDataFrame(rows, MESSAGES)
+
+
+def test_a_ninth_batch_in_a_new_session(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "GROUP", 64)
+    root, read = str(tmp_path / "state"), []
+    for run in range(1, 9):
+        store = history.History(spark, root, 4)  # opened again each time
+        store.append(batch_of(spark, run, 600))
+        read.append(store.read_rows)
+    assert len(store.state["prints"]) == 1 and store.state["batches"] == 8  # eight segments became one
+    late = history.History(spark, root)
+    links = {(r["a_row"], r["b_row"]) for r in late.append(batch_of(spark, 9, 600, [(1, 7), (8, 5)])).collect()}
+    assert links == {(100_007, 990_000), (800_005, 990_001)}
+    # nothing of the history is read but the row groups of positives: a few false ones, however long the history is
+    assert late.read_rows <= 4 * max(read) + 20 * 64 and late.read_rows < 600 * 9 * 3 / 4
+    assert {tuple(r) for r in late.repeats().collect()} == links
+    (tmp_path / "state" / "manifest-10.json").write_text("{}")
+    with pytest.raises(RuntimeError):
+        late.append(batch_of(spark, 10, 5))
+
+
 def test_same_text():
     same = history.same_text
     assert same("prijdu za chvili", "prijdu za cvhili") and same("meet me at the cafe no later", "meet me at the ca")
