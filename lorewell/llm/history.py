@@ -270,18 +270,18 @@ def _filesystem(root: str) -> tuple[pafs.FileSystem, str]:
 class _Writer:
     """Writes the segment of one partition: rows sorted by key in row groups, and a Bloom block for each group."""
 
-    def __init__(self, files: pafs.FileSystem, path: str):
-        self.files, self.path, self.held, self.rows, self.blocks, self.out = files, path, [], 0, [], None
+    def __init__(self, files: pafs.FileSystem, path: str, size: int):
+        self.files, self.path, self.size, self.held, self.rows, self.blocks, self.out = files, path, size, [], 0, [], None
         files.create_dir(path.rsplit("/", 1)[0], recursive=True)
 
     def add(self, frame: pd.DataFrame) -> None:
         self.held.append(frame)
         self.rows += len(frame)
-        if self.rows >= GROUP:
+        if self.rows >= self.size:
             whole = pd.concat(self.held, ignore_index=True)
-            n = self.rows // GROUP * GROUP
-            for i in range(0, n, GROUP):
-                self._group(whole.iloc[i : i + GROUP])
+            n = self.rows // self.size * self.size
+            for i in range(0, n, self.size):
+                self._group(whole.iloc[i : i + self.size])
             self.held, self.rows = [whole.iloc[n:]], self.rows - n
 
     def _group(self, frame: pd.DataFrame) -> None:
@@ -289,7 +289,7 @@ class _Writer:
         if self.out is None:
             self.sink = self.files.open_output_stream(self.path)
             self.out = pq.ParquetWriter(self.sink, batch.schema, compression="zstd", use_dictionary=False)
-        self.out.write_table(batch.cast(self.out.schema), row_group_size=GROUP)
+        self.out.write_table(batch.cast(self.out.schema), row_group_size=self.size)
         keys = np.unique(frame["key"].to_numpy())
         self.blocks.append((int(keys[0]), int(keys[-1]), bloom_of(keys)))
 
@@ -357,14 +357,14 @@ LINKED = "a_run bigint, a_row bigint, b_run bigint, b_row bigint, kind int, same
 
 
 class History:
-    """The state below ``root``: opened if it is there, else begun with ``parts`` partitions."""
+    """The state below ``root``: opened if it is there, else begun with ``parts`` partitions and ``group`` rows in a row group."""
 
-    def __init__(self, spark: SparkSession, root: str, parts: int = 32):
+    def __init__(self, spark: SparkSession, root: str, parts: int = 32, group: int = GROUP):
         self.spark, self.root = spark, root.rstrip("/")
         files, base = _filesystem(self.root)
         files.create_dir(base, recursive=True)
         found = sorted(int(x.base_name[9:-5]) for x in files.get_file_info(pafs.FileSelector(base)) if x.base_name.startswith("manifest-") and x.base_name.endswith(".json"))
-        self.state = {"batches": 0, "parts": parts, "prints": [], "texts": [], "links": [], "letters": None}
+        self.state = {"batches": 0, "parts": parts, "group": group, "prints": [], "texts": [], "links": [], "letters": None}
         if found:
             with files.open_input_stream(f"{base}/manifest-{found[-1]}.json") as f:
                 self.state = json.loads(f.read())
@@ -450,7 +450,7 @@ class History:
 
     def _written(self, rows: DataFrame, kind: str) -> dict[str, str]:
         """Writes a segment; its file by partition."""
-        root = self.root
+        root, size = self.root, self.state["group"]
 
         def apply(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             files, base = _filesystem(root)
@@ -458,7 +458,7 @@ class History:
             for p, frame in _whole_keys(chunks):
                 if p != at:
                     done += [(at, writer.close())] if writer else []
-                    writer, at = _Writer(files, f"{base}/{kind}/{p}-{uuid.uuid4().hex}.parquet"), p
+                    writer, at = _Writer(files, f"{base}/{kind}/{p}-{uuid.uuid4().hex}.parquet", size), p
                 writer.add(frame.drop(columns="part"))
             done += [(at, writer.close())] if writer else []
             yield pd.DataFrame(done, columns=["part", "file"])
@@ -479,7 +479,7 @@ class History:
 
     def _linked(self, keys: DataFrame) -> DataFrame:
         """Links of the batch (``LINKED``), and a row for each partition with its new segment's file."""
-        root, segments = self.root, [files for _, files in self.state["prints"]]
+        root, size, segments = self.root, self.state["group"], [files for _, files in self.state["prints"]]
 
         def apply(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             files, base = _filesystem(root)
@@ -494,7 +494,7 @@ class History:
                 if p != at:
                     if writer:
                         yield close()
-                    writer, at = _Writer(files, f"{base}/prints/{p}-{uuid.uuid4().hex}.parquet"), p
+                    writer, at = _Writer(files, f"{base}/prints/{p}-{uuid.uuid4().hex}.parquet", size), p
                     readers = [_Reader(files, s[str(p)]) for s in segments if str(p) in s]
                 frame = frame.drop(columns="part").drop_duplicates(["key", "row_id"])
                 keys, at_key, times = np.unique(frame["key"].to_numpy(), return_inverse=True, return_counts=True)

@@ -221,11 +221,10 @@ def batch_of(spark, run, n, again=()):
     return spark.createDataFrame(rows, MESSAGES)
 
 
-def test_a_ninth_batch_in_a_new_session(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(history, "GROUP", 64)
+def test_a_ninth_batch_in_a_new_session(spark, tmp_path):
     root, read = str(tmp_path / "state"), []
     for run in range(1, 9):
-        store = history.History(spark, root, 4)  # opened again each time
+        store = history.History(spark, root, 4, 64)  # opened again each time
         store.append(batch_of(spark, run, 600))
         read.append(store.read_rows)
     assert len(store.state["prints"]) == 1 and store.state["batches"] == 8  # eight segments became one
