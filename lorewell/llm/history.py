@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from lorewell.llm.garbled import Restorer, fit_letters, local_restorer
 from lorewell.llm.graph import components
-from lorewell.session import scratch_path, written
+from lorewell.session import drop_path, scratch_path, written
 
 SHINGLE, WINDOW = 2, 12  # words of a fingerprint, and fingerprints of which the least is kept
 LONG = 12  # letters from which a run without spaces counts as several words
@@ -191,7 +191,7 @@ def fingerprinted(rows: DataFrame, counts) -> DataFrame:
             codes, distinct = pd.factorize(batch["text"], use_na_sentinel=True)
             done = [norm(t) for t in distinct] + [("", False)]
             prints = [winnowed(w) for w, _ in done]
-            hashes = [_signed(_hash(w)) for w, _ in done]
+            hashes = [_hash(w) & 0x7FFFFFFF for w, _ in done]
             batch["words"] = [done[c][0] for c in codes]
             batch["damaged"] = [done[c][1] for c in codes]
             batch["wh"] = [hashes[c] for c in codes]
@@ -204,7 +204,7 @@ def fingerprinted(rows: DataFrame, counts) -> DataFrame:
     hashed = rows.select("row_id", F.col("run_id").cast("bigint").alias("run_id"), F.xxhash64("channel_id", "sender_id").alias("scope"), "ts",
                          *[F.when(F.col(c).isNotNull(), F.xxhash64(c)).otherwise(F.lit(0)).alias(n) for c, n in (("message_id", "m"), ("source_key", "s"), ("text", "t"))],
                          F.xxhash64(*every).alias("h"), F.xxhash64(F.lit(7), *reversed(every)).alias("g"), "text")
-    out = hashed.mapInPandas(apply, "row_id bigint, run_id bigint, scope bigint, ts bigint, m bigint, s bigint, t bigint, copy_run bigint, copy_of bigint, words string, damaged boolean, wh bigint, fps array<bigint>")
+    out = hashed.mapInPandas(apply, "row_id bigint, run_id bigint, scope bigint, ts bigint, m bigint, s bigint, t bigint, copy_run bigint, copy_of bigint, words string, damaged boolean, wh int, fps array<bigint>")
     return out.select("row_id", "run_id", "copy_run", "copy_of", "ts", F.col("t").bitwiseAND(0x7FFFFFFF).cast("int").alias("th"), "words", "damaged", "wh", F.when(F.col("copy_of").isNull(), _keys()).alias("keys"))
 
 
@@ -288,7 +288,8 @@ class _Writer:
         batch = pa.Table.from_pandas(frame, preserve_index=False)
         if self.out is None:
             self.sink = self.files.open_output_stream(self.path)
-            self.out = pq.ParquetWriter(self.sink, batch.schema, compression="zstd", use_dictionary=False)
+            delta = {c: "DELTA_BINARY_PACKED" for c in ("row_id", "run", "ts") if c in batch.schema.names}
+            self.out = pq.ParquetWriter(self.sink, batch.schema, compression="zstd", use_dictionary=False, column_encoding=delta or None)
         self.out.write_table(batch.cast(self.out.schema), row_group_size=self.size)
         keys = np.unique(frame["key"].to_numpy())
         self.blocks.append((int(keys[0]), int(keys[-1]), bloom_of(keys)))
@@ -397,6 +398,7 @@ class History:
         ``rows``: row_id, run_id, channel_id, sender_id, message_id, source_key, timestamp and text.
         """
         spark, state = self.spark, json.loads(json.dumps(self.state))
+        stale = [f for kind in ("prints", "texts") for f in self._merged(state[kind], kind)]
         columns = ["row_id", "run_id", "channel_id", "sender_id", "message_id", "source_key", F.col("timestamp").alias("ts"), "text"]
         rows = rows.select(*columns).where("channel_id IS NOT NULL AND sender_id IS NOT NULL AND run_id IS NOT NULL")
         table = self.letters(rows.select("text"))
@@ -407,13 +409,13 @@ class History:
         own = prints.where("copy_of IS NULL")
         texts = self._written(own.select(F.col("row_id").alias("key"), "words", "damaged"), "texts")
         state["texts"].append([0, texts])
-        linked = written(self._linked(keyed(prints)), "linked")
+        linked = written(self._linked(keyed(prints), [x for _, x in state["prints"]]), "linked")
         state["prints"].append([0, {str(r["part"]): r["file"] for r in linked.where("file IS NOT NULL").select("part", "file").collect()}])  # a row a partition
         links = linked.where("file IS NULL")
         ends = ["a_run", "a_row", "b_run", "b_row"]
         sure = links.where((F.col("kind") < BY_CONTENT) | F.col("same")).select(*ends)
         near = links.where((F.col("kind") == BY_CONTENT) & ~F.col("same")).select(*ends).distinct().join(sure.distinct(), ends, "left_anti")
-        checked = written(self._same(near, [files for _, files in state["texts"]]), "checked")
+        checked = written(self._same(near, [x for _, x in state["texts"]]), "checked")
         copies = prints.where("copy_of IS NOT NULL").select(F.col("copy_run").alias("a_run"), F.col("copy_of").alias("a_row"), F.col("run_id").alias("b_run"), F.col("row_id").alias("b_row"))
         name = f"links/{uuid.uuid4().hex}"
         sure.unionByName(checked.where("same").select(*ends)).unionByName(copies).distinct().write.parquet(f"{self.root}/{name}")
@@ -424,9 +426,12 @@ class History:
         with files.open_output_stream(f"{base}/{state['letters']}") as out:
             out.write(table.astype("<f4").tobytes())
         state["batches"] += 1
-        for kind in ("prints", "texts"):
-            self._merged(state[kind], kind)
         self._commit(state)
+        for path in stale:  # merged into a larger segment, and named by no manifest but older ones
+            for f in (path, f"{path}.bloom"):
+                files.delete_file(f)
+        drop_path(spark, prints_path)
+        spark.sparkContext._jvm.System.gc()  # lets go of the batch's shuffles: the next batch needs the room
         return self._links([name])
 
     def _links(self, names: list[str]) -> DataFrame:
@@ -465,9 +470,9 @@ class History:
 
         return {str(r["part"]): r["file"] for r in self._placed(rows).mapInPandas(apply, "part int, file string").collect()}  # a row a partition
 
-    def _merged(self, segments: list, kind: str) -> None:
-        """Makes ``FAN`` segments of one level one of the next, as long as there are so many."""
-        level = 0
+    def _merged(self, segments: list, kind: str) -> list[str]:
+        """Makes ``FAN`` segments of one level one of the next, as long as there are so many; the files that went into them."""
+        level, gone = 0, []
         while any(x[0] >= level for x in segments):
             own = [x for x in segments if x[0] == level]
             if len(own) >= FAN:
@@ -475,11 +480,13 @@ class History:
                 scheme = self.root.split("://")[0] + "://" if "://" in self.root else ""
                 merged = self._written(self.spark.read.parquet(*[scheme + p for p in paths]), kind) if paths else {}
                 segments[:] = [x for x in segments if x[0] != level] + [[level + 1, merged]]
+                gone += paths
             level += 1
+        return gone
 
-    def _linked(self, keys: DataFrame) -> DataFrame:
+    def _linked(self, keys: DataFrame, segments: list[dict[str, str]]) -> DataFrame:
         """Links of the batch (``LINKED``), and a row for each partition with its new segment's file."""
-        root, size, segments = self.root, self.state["group"], [files for _, files in self.state["prints"]]
+        root, size = self.root, self.state["group"]
 
         def apply(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             files, base = _filesystem(root)

@@ -227,10 +227,11 @@ def test_a_ninth_batch_in_a_new_session(spark, tmp_path):
         store = history.History(spark, root, 4, 64)  # opened again each time
         store.append(batch_of(spark, run, 600))
         read.append(store.read_rows)
-    assert len(store.state["prints"]) == 1 and store.state["batches"] == 8  # eight segments became one
+    assert len(store.state["prints"]) == 8 and store.state["batches"] == 8
     late = history.History(spark, root)
     links = {(r["a_row"], r["b_row"]) for r in late.append(batch_of(spark, 9, 600, [(1, 7), (8, 5)])).collect()}
     assert links == {(100_007, 990_000), (800_005, 990_001)}
+    assert [level for level, _ in late.state["prints"]] == [1, 0]  # eight segments became one
     # nothing of the history is read but the row groups of positives: a few false ones, however long the history is
     assert late.read_rows <= 4 * max(read) + 20 * 64 and late.read_rows < 600 * 9 * 3 / 4
     assert {tuple(r) for r in late.repeats().collect()} == links
