@@ -2,7 +2,8 @@
 
 Method. For every pair (bytes written in A, read as B) the garbled sequences are computed beforehand: for UTF-8 read
 as a one-byte set, each lead byte with each continuation byte, as they look in B (also in the other letter case, for
-text that was lowered or raised afterwards). All of them go into one Aho-Corasick automaton. It runs over the tokens
+text that was lowered or raised afterwards). All of them go into one Aho-Corasick automaton; the characters of pairs of
+one-byte sets go into a second one, which tells for each in which pairs it can stand. It runs over the tokens
 (runs of letters and non-ASCII characters) of a text; a token in which it finds a sequence is decoded under the sets
 concerned, repeatedly for text garbled more than once, and only the matched spans are replaced. Pairs of one-byte sets
 change single letters, which say little by themselves, so those, sequences that lost their control characters and
@@ -37,7 +38,6 @@ WRITTEN = ["cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp1253", "iso885
 ONE_BYTE_READ = ["latin-1", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp1253", "cp437", "cp850", "cp852", "mac-roman"]
 #: Sets of several bytes a character: read as one-byte sets, and as what UTF-8 was read.
 WIDE = ["shift_jis", "gbk", "big5", "euc_kr", "euc_jp"]
-MAX_ROUNDS = 5
 MEMO = 60_000  # tokens and trigrams whose results a process keeps
 GAIN, GAIN_UTF8 = 1.2, 0.6  # nats a trigram that a restoration must gain without firm evidence
 
@@ -175,13 +175,22 @@ def _tables():
                 continue
             seen.add(key)
             pairs.append((f"{written} as {read}", to, {chr(k) for k, v in to.items() if chr(k) != v and v.isalpha()}))
+    # the characters of one-byte pairs: in which pairs each can stand, and in which it changes
+    stands: dict[str, int] = {}
+    for i, (_, to, _) in enumerate(pairs):
+        for k in to:
+            stands[chr(k)] = stands.get(chr(k), 0) | 1 << i
+    letters = ahocorasick.Automaton()
+    for c, mask in stands.items():
+        letters.add_word(c, mask)
+    letters.make_automaton()
     lone: dict[str, list[str]] = {}
     for lead in range(0xC3, 0xE0):
         for rest in [*range(0x80, 0xA0), 0xAD]:
             lone.setdefault(chr(lead), []).append(bytes([lead, rest]).decode())
     lone["Ã"].append("à")  # its second half is a no-break space, often made a space
     lone["â"] = list("“”„’‘–—…€•")
-    return sets, automaton, pairs, lone
+    return sets, automaton, (pairs, letters), lone
 
 
 class Restorer:
@@ -195,7 +204,7 @@ class Restorer:
         """Decodes as often as it decodes: the result, the sets, and if the evidence is firm."""
         sets, automaton, _, _ = _tables()
         cur, names, firm = token, [], False
-        for _ in range(MAX_ROUNDS):
+        while True:  # every round shortens the token
             mask = 0
             for _, m in automaton.iter(cur):
                 mask |= m
@@ -207,7 +216,7 @@ class Restorer:
                         score = self.model.mean(out) + 0.5 * whole
                         if best is None or score > best[0]:
                             best = (score, out, s.codec, control > 0 or (n > 1 and whole))
-            if best is None or (names and self.model.gain(cur, best[1]) < (0 if _MESS.search(cur) else GAIN)):
+            if best is None or len(best[1]) >= len(cur) or (names and self.model.gain(cur, best[1]) < (0 if _MESS.search(cur) else GAIN)):
                 break
             cur, firm = best[1], firm or best[3]
             names.append(best[2])
@@ -228,10 +237,19 @@ class Restorer:
         best = None
         high = [c for c in token if ord(c) > 127]
         ascii_too = len(high) < len(token)
-        for name, to, changing in _tables()[2]:
+        pairs, letters = _tables()[2]
+        mask, seen = (1 << len(pairs)) - 1, 0
+        for _, own_pairs in letters.iter(token):
+            mask &= own_pairs
+            seen += 1
+        if seen < len(high):  # a character that no pair has
+            return None
+        while mask:
+            name, to, changing = pairs[(mask & -mask).bit_length() - 1]
+            mask &= mask - 1
             if ascii_too and _OTHER_SCRIPT.search(name.split(" as ")[0]):
                 continue
-            if all(ord(c) in to for c in high) and not _PUNCTUATION.match("".join(c for c in high if c in changing)):
+            if not _PUNCTUATION.match("".join(c for c in high if c in changing)):
                 out = token.translate(to)
                 if _INNER_CAPITAL.search(out) and not _INNER_CAPITAL.search(token):
                     continue
@@ -296,18 +314,37 @@ class Restorer:
         """The text with its garbled spans restored, and what they were; (text, None) where nothing is garbled."""
         if not text:
             return text, None
-        plain = text
+        plain, places = text, None
         if "&" in text or "\\u" in text:
-            plain = _ESCAPE.sub(lambda m: x if ord((x := _unescaped(m.group()))[0]) > 127 else m.group(), text)
+            plain, places = _unescaped_with_places(text)
         # short tokens say too little by themselves: they follow a longer one of the same pair
-        found = {t: f for t in _TOKEN.findall(plain) if (f := self.judge(t))}
+        spans = [(m.start(), m.end(), f) for m in _TOKEN.finditer(plain) if (f := self.judge(m.group()))]
+        found = {plain[i:j]: f for i, j, f in spans}
         names = [f[1] for t, f in found.items() if not _weak(f)]
         # letters of another script in place of letters: one token can be a misspelling, two can't
         firm = {n for n in names if not _SAME_KIND.search(n) or names.count(n) > 1 or any(f[1] == n and not t.isalpha() or any("a" <= c.lower() <= "z" for c in t) for t, f in found.items() if f[1] == n)}
         if not firm:
             return text, None
-        out = _TOKEN.sub(lambda m: f[0] if (f := found.get(m.group())) and f[1] in firm else m.group(), plain)
-        return out, max(sorted(firm), key=[f[1] for f in found.values()].count)
+        # only what is garbled is replaced: escapes elsewhere stay as they were typed
+        out, at = [], 0
+        for i, j, f in spans:
+            if f[1] in firm:
+                i, j = (i, j) if places is None else (places[i], places[j])
+                out += [text[at:i], f[0]]
+                at = j
+        return "".join([*out, text[at:]]), max(sorted(firm), key=[f[1] for f in found.values()].count)
+
+
+def _unescaped_with_places(text: str) -> tuple[str, list[int]]:
+    """The text with its escapes of characters outside ASCII resolved, and where each of its characters, and the end, lay."""
+    out, places, at = [], [], 0
+    for m in _ESCAPE.finditer(text):
+        x = _unescaped(m.group())
+        if ord(x[0]) > 127:
+            out += [text[at : m.start()], x]
+            places += [*range(at, m.start()), *[m.start()] * len(x)]
+            at = m.end()
+    return "".join([*out, text[at:]]), [*places, *range(at, len(text) + 1)]
 
 
 def _weak(found: tuple[str, str]) -> bool:

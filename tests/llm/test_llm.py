@@ -56,6 +56,12 @@ def test_garbled_cases(restorer):
     assert out == "přinese &amp; ano" and pair.startswith("utf-8 as")
     assert restorer.restore("p\\u00c5\\u0099inese")[0] == "přinese"
     assert restorer.restore("Kv�ta")[1] == "replaced"
+    typed = "napsal jsem &eacute; a \\u00e9 schválně, ale pÅ™inese"
+    assert restorer.restore(typed)[0] == typed.replace("pÅ™inese", "přinese")
+    deep = "příště"
+    for _ in range(7):
+        deep = deep.encode("utf-8").decode("latin-1")
+    assert restorer.restore(deep)[0] == "příště"
     mixed = "správně a pÅ™inese"
     assert restorer.restore(mixed)[0] == "správně a přinese"
     for fine in (None, "", "plain", "Zítra přinese dárek", "på søndag rødgrød", "NÃO, AMANHÃ!", "«ça va ?»", "½ litru", "США», ok", "😀👍"):
