@@ -1,7 +1,8 @@
 """Nested records to related flat tables, by a tree automaton over their shapes.
 
 A record is a tree. The automaton runs bottom-up: a leaf gets its state from its kind (``NULL``, ``BLANK``,
-``TEXT``, ``NUMBER``, ``FLAG``), an inner node from its kind and the states of its members. ``Rule`` names the
+``TEXT``, ``NUMBER``, ``FLAG``), an inner node from its kind and the states of its members, typed states of the nodes
+below included (an embed by its fields' states, an emotion by its users'). ``Rule`` names the
 member states that lead to a typed state; the first rule that fits wins, and a node that fits none gets the
 catch-all state of its family. States below ``ENTRY`` (null, empty text, empty object) are no entries.
 
@@ -11,8 +12,8 @@ nodes are classified in one projection and the children leave through one ``expl
 Every child row keeps the supertype's keys (record key, ``child_kind``, ``pos``, ``sub_pos``) whatever its typed
 state, so subtype tables of one kind can be united or joined to their parents at any time.
 
-Defined results: a null record or column has no children; text that is not one valid JSON value has none (text
-with a repeated member name is not valid); a single object in place of an array is an array of one; arrays kept as
+Defined results: a null record or column has no children; text that is not one valid JSON value has none; a record
+that repeats a member's name has the entries of its first member of that name; a single object in place of an array is an array of one; arrays kept as
 JSON text are read as arrays; an entry that is none keeps its index; a record that is there twice gives its
 children twice; columns of the input beside the named ones are ignored, whatever their names.
 """
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorewell.session import written
+
 NULL, BLANK, HOLLOW = "NULL", "BLANK", "HOLLOW"  # no entries: null, empty text, empty object
 TEXT, NUMBER, FLAG, LIST, OBJECT = "TEXT", "NUMBER", "FLAG", "LIST", "OBJECT"
 
@@ -88,19 +91,32 @@ def entries(v: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A typed state and the member states that lead to it; a member that is not named may have any state."""
+    """A typed state and the member states that lead to it; a member that is not named may have any state.
+
+    A member's state is its kind, or a typed state of the family ``typed`` names for it: those are found first (the
+    automaton runs bottom-up), and a member that is a list has the state ``<family>_list`` if all its entries have typed
+    states of that family that a rule names, else ``<family>_mixed``."""
 
     state: str
     members: dict[str, tuple[str, ...]] = field(default_factory=dict)
     kind: str = OBJECT
+    typed: dict[str, str] = field(default_factory=dict)
 
     def fits(self, v: Column, state: Column) -> Column:
         test = state == self.kind
         for name, states in self.members.items():
-            test = test & leaf_state(_path(v, name)).isin(*states)
+            member = _path(v, name)
+            test = test & (list_state(self.typed[name], member) if name in self.typed else leaf_state(member)).isin(*states)
         return test
 
 
+def list_state(family: str, v: Column) -> Column:
+    """The state of a member that holds entries of a family: ``<family>_none``, ``<family>_list`` or ``<family>_mixed``."""
+    return _let(F.filter(F.transform(entries(v), lambda w: AUTOMATA[family].classify(w)), lambda x: x.isNotNull()), lambda found: (
+        F.when(F.size(found) == 0, f"{family}_none").when(F.exists(found, lambda x: x == f"{family}_other"), f"{family}_mixed").otherwise(f"{family}_list")
+    ))
+
+
 class Automaton:
     """The typed states of one family of nodes. ``classify`` gives the state, ``rules`` in order of preference."""
 
@@ -133,7 +149,8 @@ AUTOMATA = {
         Rule("attachment_named", {"name": _SOME}),
     ]),
     "embed": Automaton("embed", [
-        Rule("embed_with_fields", {"fields": (LIST, OBJECT)}),
+        Rule("embed_signed_fields", {"fields": ("embed_field_list",), "author": (OBJECT,)}, typed={"fields": "embed_field"}),
+        Rule("embed_with_fields", {"fields": ("embed_field_list", "embed_field_mixed")}, typed={"fields": "embed_field"}),
         Rule("embed_titled", {"title": _SOME}),
     ]),
     "embed_field": Automaton("embed_field", [
@@ -141,6 +158,11 @@ AUTOMATA = {
         Rule("embed_field_text", {"value": _SOME}),
         Rule("embed_field_blank", {"name": _SOME}),
     ]),
+    "emotion": Automaton("emotion", [
+        Rule("emotion_used", {"key": _SOME, "users": ("reaction_list",)}, typed={"users": "reaction"}),
+        Rule("emotion_mixed", {"key": _SOME, "users": ("reaction_mixed",)}, typed={"users": "reaction"}),
+        Rule("emotion_unused", {"key": _SOME}),
+    ]),
     "reaction": Automaton("reaction", [
         Rule("reaction_timed", {"DisplayName": _SOME, "time": _COUNT}),
         Rule("reaction_untimed", {"DisplayName": _SOME}),
@@ -164,6 +186,7 @@ COLUMNS: dict[str, list[tuple[str, str, str]]] = {
     "attachment": [("doc_id", "$.doc_id", "string"), ("name", "$.name", "string"), ("size", "$.size", "bigint"), ("width", "$.width", "int"), ("height", "$.height", "int"), ("url", "$.url", "string")],
     "embed": [("type", "$.type", "string"), ("title", "$.title", "string"), ("author", "$.author.name", "string")],
     "embed_field": [("name", "$.name", "string"), ("value", "$.value", "string")],
+    "emotion": [("key", "$.key", "string")],
     "reaction": [("display_name", "$.DisplayName", "string"), ("time", "$.time", "bigint")],
     "file": [("file_name", "$.fileName", "string"), ("item_id", "$.itemid", "string"), ("size", "$.size", "bigint")],
     "quote": [("message_id", "$.messageId", "string"), ("sender", "$.sender", "string")],
@@ -192,12 +215,23 @@ def _grandchildren(kind: str, nodes: Column, member: str) -> Column:
     return F.filter(rows, lambda r: r["shape"].isNotNull()).cast(f"array<{_CHILD}>")
 
 
-def child_rows(decoded: DataFrame) -> DataFrame:
-    """One row per child entry: rec_id, child_kind, pos, sub_pos, shape (the automaton's state), node (variant)."""
-    message = parsed(F.col("message"))
-    base = decoded.select("rec_id", message.alias("m"), "attachments", "embeds")
+def child_rows(decoded: DataFrame, parents: bool = False) -> DataFrame:
+    """One row per child entry: rec_id, child_kind, pos, sub_pos, shape (the automaton's state), node (variant).
+
+    ``parents`` adds the emotions, whose keys (rec_id, pos) are the parent link of reactions as an embed's are of its
+    fields. A record that repeats a member's name is valid JSON that VARIANT refuses as a whole; its lists are then read
+    by path, each by itself."""
+    message = F.col("message")
+    base = decoded.select("rec_id", "message", parsed(message).alias("m"), "attachments", "embeds")
     p = _unwrapped(_path(F.col("m"), "properties"))
-    base = base.select("rec_id", "m", p.alias("p"), "attachments", F.transform(F.col("embeds"), lambda e: parsed(e)).alias("embeds"))
+    refused = F.when(F.col("m").isNull() & message.rlike(r"^\s*\{"), F.from_json(message, "map<string,string>").isNotNull()).otherwise(F.lit(False))
+    base = base.select("rec_id", "message", "m", p.alias("p"), refused.alias("refused"), "attachments", F.transform(F.col("embeds"), lambda e: parsed(e)).alias("embeds"))
+
+    def part(name: str) -> Column:
+        own = _path(F.col("m" if name == "amsreferences" else "p"), name)
+        path = f"$.{name}" if name == "amsreferences" else f"$.properties.{name}"
+        return entries(F.when(F.col("refused"), parsed(F.get_json_object(message, path))).otherwise(own))
+
     attachment = next((f.dataType.elementType for f in decoded.schema if f.name == "attachments" and isinstance(f.dataType, T.ArrayType)), None)
     if isinstance(attachment, T.StructType):
         names = attachment.names
@@ -205,15 +239,17 @@ def child_rows(decoded: DataFrame) -> DataFrame:
         attachments = F.transform(F.col("attachments"), lambda a: F.when(a.isNotNull() & ~hollow(a), F.call_function("to_variant_object", a)))
     else:
         attachments = F.transform(F.col("attachments"), lambda a: parsed(a))
+    emotions = part("emotions")
     children = F.concat(*[F.coalesce(x, F.array().cast(f"array<{_CHILD}>")) for x in (
         _children("attachment", attachments),
         _children("embed", F.col("embeds")),
         _grandchildren("embed_field", F.col("embeds"), "fields"),
-        _grandchildren("reaction", entries(_path(F.col("p"), "emotions")), "users"),
-        _children("file", entries(_path(F.col("p"), "files"))),
-        _children("quote", entries(_path(F.col("p"), "qtdMsgs"))),
-        _children("preview", entries(_path(F.col("p"), "urlpreviews"))),
-        _children("amsref", entries(_path(F.col("m"), "amsreferences"))),
+        *([_children("emotion", emotions)] if parents else []),
+        _grandchildren("reaction", emotions, "users"),
+        _children("file", part("files")),
+        _children("quote", part("qtdMsgs")),
+        _children("preview", part("urlpreviews")),
+        _children("amsref", part("amsreferences")),
     )])
     return base.select("rec_id", F.explode(children).alias("c")).select("rec_id", "c.child_kind", "c.pos", "c.sub_pos", "c.shape", "c.node")
 
@@ -239,5 +275,9 @@ def record_table(decoded: DataFrame) -> DataFrame:
 
 
 def write_subtypes(decoded: DataFrame, path: str) -> None:
-    """Routes every variant to its own table folder ``child_kind=/shape=`` in one pass over the records."""
-    child_rows(decoded).withColumn("node", F.call_function("to_json", F.col("node"))).write.partitionBy("child_kind", "shape").parquet(path)
+    """Routes every variant to a typed table of its own: ``path/<kind>/shape=<state>``, with the supertype's keys and the
+    kind's typed columns. One pass over the records parses them; the kinds are written from it."""
+    rows = written(child_rows(decoded, parents=True).withColumn("node", F.call_function("to_json", F.col("node"))), "children", ["child_kind"])
+    rows = rows.withColumn("node", F.call_function("parse_json", F.col("node")))
+    for kind in AUTOMATA:
+        subtype_table(rows, kind).drop("child_kind").write.partitionBy("shape").parquet(f"{path}/{kind}")

@@ -122,3 +122,18 @@ def decorated(page_rows: DataFrame, messages: DataFrame, replies: DataFrame, use
     target = messages.groupBy(F.col("message_id").alias("replied_to_id")).agg(F.min_by("text", F.struct("timestamp", "row_id")).alias("reply_text"))
     rows = page_rows.join(who, "sender_id", "left").join(replies, "message_id", "left").join(target, "replied_to_id", "left")
     return rows.select("row_id", "message_id", "channel_id", "sender_id", "display", "is_self", "timestamp", "text", "replied_to_id", preview(F.col("reply_text")).alias("reply_preview"))
+
+
+def adorned(rows: DataFrame, message_attachments: DataFrame, attachments: DataFrame, reactions: DataFrame, actors: DataFrame, embeds: DataFrame, users: DataFrame, people: DataFrame) -> DataFrame:
+    """Messages with arrays of their attachments (by name), reactions (most first, with the names of who reacted) and
+    embeds. The page is joined first, so each table gives its rows of the page only."""
+    page_ids = rows.select("message_id").distinct()
+    who = named_users(users, people).select("user_id", "display")
+    files = message_attachments.join(page_ids, "message_id", "left_semi").join(attachments, "attachment_id")
+    files = files.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("name", "attachment_id", "type", "size", "width", "height", "sha256", "local_path"))).alias("attachments"))
+    names = actors.join(page_ids, "message_id", "left_semi").join(who, "user_id", "left").groupBy("message_id", "emoji_name").agg(F.array_sort(F.collect_list("display")).alias("who"))
+    marks = reactions.join(page_ids, "message_id", "left_semi").join(names, ["message_id", "emoji_name"], "left")
+    marks = marks.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("order"), "emoji_name", "count", "who"))).alias("reactions"))
+    marks = marks.withColumn("reactions", F.transform("reactions", lambda x: x.dropFields("order")))
+    cards = embeds.join(page_ids, "message_id", "left_semi").groupBy("message_id").agg(F.array_sort(F.collect_list("json")).alias("embeds"))
+    return rows.join(files, "message_id", "left").join(marks, "message_id", "left").join(cards, "message_id", "left")

@@ -26,7 +26,15 @@ def p1_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reactions.select("rec_id", "pos", "sub_pos", "display_name", "time")
 
 
-QUERIES = {"p1_found": p1_found, "p1_subtypes": p1_subtypes, "p1_reactions": p1_reactions}
+def p1_emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every emotion with its key, its typed state by its users' states, and how many reactions link to it."""
+    rows = shapes.child_rows(table(spark, sf_dir, "decoded"), parents=True).where("child_kind IN ('emotion', 'reaction')")
+    emotions = shapes.subtype_table(rows, "emotion").select("rec_id", "pos", "key", "shape")
+    own = rows.where("child_kind = 'reaction'").groupBy("rec_id", "pos").agg(F.count("*").alias("reactions"))
+    return emotions.join(own, ["rec_id", "pos"], "left").select("rec_id", "pos", "key", (F.col("shape") == "emotion_used").alias("used"), F.coalesce("reactions", F.lit(0)).alias("reactions"))
+
+
+QUERIES = {"p1_emotions": p1_emotions, "p1_found": p1_found, "p1_subtypes": p1_subtypes, "p1_reactions": p1_reactions}
 
 
 def _list(x: str) -> str:
@@ -57,6 +65,10 @@ files_of AS (SELECT rec_id, unnest(attachments) AS a, generate_subscripts(attach
 """
 
 SQL = {
+    "p1_emotions": f"""{_CTE}, e AS (SELECT rec_id, pos, x ->> '$.key' AS key FROM flat WHERE child_kind = 'emotion' AND {_ENTRY}),
+r AS (SELECT rec_id, pos, count(*) AS n, bool_and(json_type(x) = 'OBJECT' AND json_type(x -> '$.DisplayName') = 'VARCHAR' AND (x ->> '$.DisplayName') <> '') AS typed
+  FROM deep WHERE child_kind = 'reaction' AND {_ENTRY} GROUP BY 1, 2)
+SELECT rec_id, CAST(e.pos AS INTEGER) AS pos, key, coalesce(typed, false) AND coalesce(key, '') <> '' AS used, coalesce(n, 0) AS reactions FROM e LEFT JOIN r USING (rec_id, pos)""",
     "p1_found": f"""{_CTE}
 SELECT rec_id, child_kind, CAST(pos AS INTEGER) AS pos, -1 AS sub_pos FROM flat WHERE child_kind <> 'emotion' AND {_ENTRY}
 UNION ALL SELECT rec_id, child_kind, CAST(pos AS INTEGER), CAST(sub_pos AS INTEGER) FROM deep WHERE {_ENTRY}

@@ -44,7 +44,10 @@ class Query:
     terms: list[Term]
 
     def predicate(self, toks: Column) -> Column:
-        return F.lit(False) if self.tree is None else _column(self.tree, toks, token_text(toks))
+        if self.tree is None:
+            return F.lit(False)
+        # bound once: a filter is pushed below the tokens' projection, and would tokenise for every word of the query
+        return F.exists(F.array(toks), lambda t: F.exists(F.array(token_text(t)), lambda text: _column(self.tree, t, text)))
 
     def words(self) -> list[list[str]]:
         """All phrases that count as hits, for snippets."""
@@ -276,6 +279,36 @@ def search(indexed: DataFrame, text: str, lexicon: DataFrame | None = None, plat
     return rows
 
 
+@dataclass
+class Result:
+    """What a search gives: a page of hits, how many there are in all, how the query was read, and what it was widened to."""
+
+    page: DataFrame
+    total: int
+    expression: str
+    terms: list[Term]
+
+
+def expression(node: tuple | None) -> str:
+    """The tree as text: alternatives in brackets, phrases in quotes, a star behind a prefix."""
+    if node is None:
+        return ""
+    if node[0] == "any":
+        words = [f'"{" ".join(p)}"' if len(p) > 1 else p[0] + ("*" if prefix else "") for p, prefix in node[1]]
+        return words[0] if len(words) == 1 else "(" + " OR ".join(words) + ")"
+    if node[0] == "but":
+        return f"{expression(node[1])} NOT {expression(node[2])}"
+    return "(" + f" {node[0].upper()} ".join(expression(x) for x in node[1]) + ")"
+
+
+def searched(indexed: DataFrame, text: str, lexicon: DataFrame | None = None, limit: int = 60, offset: int = 0, **scope) -> Result:
+    """A page of hits with the total, the expression and the widened terms; a query that can't be read raises ``QueryError``."""
+    table = expansions(lexicon, query_words(text)) if lexicon is not None else None
+    query = compile_query(text, table)
+    hits = search(indexed, text, lexicon, **scope)
+    return Result(search_page(hits, limit, offset), hits.count(), expression(query.tree), query.terms)
+
+
 def search_page(hits: DataFrame, limit: int = 60, offset: int = 0) -> DataFrame:
     """A page of hits, newest first."""
     return hits.orderBy(F.desc("timestamp"), F.desc("row_id")).offset(max(0, offset)).limit(min(limit, 200))

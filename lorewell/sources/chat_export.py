@@ -111,20 +111,17 @@ def prose(records: DataFrame) -> DataFrame:
 
 def read_records(spark, source) -> DataFrame:
     """(conversation, conversation_ordinal, ordinal, message) of an export: a folder or a tar, read alike. Members are VARIANT."""
-    from lorewell.operators.shapes import entries
     from lorewell.sources.detect import INDEX
     from lorewell.sources.readers import register
 
-    if source.path.is_dir():
-        text = spark.read.text(str(source.path / INDEX), wholetext=True).select(F.col("value").alias("j"))
-    else:
-        register(spark)
-        members = spark.read.format("tar_members").option("path", str(source.path)).option("pattern", rf"^{re.escape(INDEX)}$").load()
-        text = members.select(F.decode("content", "UTF-8").alias("j"))
+    register(spark)
+    folder = source.path.is_dir()
+    reader = spark.read.format("chat_index").option("path", str(source.path / INDEX if folder else source.path))
+    rows = (reader if folder else reader.option("member", INDEX)).load()
     at = lambda v, p, t="variant": F.call_function("try_variant_get", v, F.lit(p), F.lit(t))
-    talks = text.select(parsed(F.col("j")).alias("v")).select(F.posexplode(entries(at(F.col("v"), "$.conversations"))).alias("conversation_ordinal", "c"))
-    talks = talks.where(at(F.col("c"), "$.id", "string").isNotNull())
-    return talks.select("conversation_ordinal", "c", F.posexplode(entries(at(F.col("c"), "$.MessageList"))).alias("ordinal", "m"))
+    whole = lambda c: F.coalesce(parsed(F.col(c)), F.when(F.col(c) != "null", F.raise_error(F.concat(F.lit("a record that can't be read: "), F.substring(c, 1, 200))).cast("string").cast("variant")))
+    rows = rows.select("conversation_ordinal", whole("head").alias("c"), "ordinal", whole("message").alias("m"))
+    return rows.where(at(F.col("c"), "$.id", "string").isNotNull() & F.col("m").isNotNull())
 
 
 def stage(spark, source) -> dict[str, DataFrame]:

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import json
+import mmap
 import re
 import sqlite3
 import tarfile
 from dataclasses import dataclass
 from pathlib import Path
 
+from lorewell.sources.readers import top_members
+
 # Names by which the formats are known.
 MARKERS = {"your_facebook_activity": "facebook", "your_instagram_activity": "instagram"}
 TRACKER_SUFFIXES = (".dht", ".sqlite", ".sqlite3", ".db")
 TRACKER_TABLES = {"messages", "channels", "users", "attachments"}
 INDEX = "messages.json"
-INDEX_LIMIT = 512 << 20
 
 
 @dataclass(frozen=True)
@@ -43,8 +45,14 @@ def is_tracker(path: Path) -> bool:
         return False
 
 
-def is_index(raw: object) -> bool:
-    return isinstance(raw, dict) and isinstance(raw.get("userId"), str) and isinstance(raw.get("conversations"), list)
+def is_index(data, begin: int = 0, end: int | None = None) -> bool:
+    """Whether a buffer holds an index: a user's id as text, and a list of conversations. Members are scanned, not built."""
+    seen = {}
+    for name, start, stop in top_members(data, begin, end):
+        seen[name] = bytes(data[start : min(stop, start + 64)]).lstrip()[:1]
+        if seen.get("userId") == b'"' and seen.get("conversations") == b"[":
+            return True
+    return False
 
 
 def is_secure_thread(path: Path) -> bool:
@@ -59,18 +67,16 @@ def is_secure_thread(path: Path) -> bool:
 def _teams(path: Path) -> bool:
     if path.is_dir():
         index = path / INDEX
-        try:
-            return index.is_file() and index.stat().st_size <= INDEX_LIMIT and is_index(json.loads(index.read_bytes()))
-        except ValueError:
+        if not index.is_file() or not index.stat().st_size:
             return False
+        with index.open("rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            return is_index(data)
     if path.suffix.lower() == ".tar" and tarfile.is_tarfile(path):
         with tarfile.open(path, "r:") as tar:
             for member in tar:
-                if member.name.lstrip("./") == INDEX:
-                    try:
-                        return is_index(json.load(tar.extractfile(member)))
-                    except ValueError:
-                        return False
+                if member.name.lstrip("./") == INDEX and member.isfile():
+                    with path.open("rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+                        return is_index(data, member.offset_data, member.offset_data + member.size)
     return False
 
 

@@ -33,5 +33,5 @@ def recovered(attachments: DataFrame, blobs: DataFrame) -> DataFrame:
     """Attachments whose bytes the file holds, with their digest and size."""
     found = blobs.select("normalized_url", F.sha2("blob", 256).alias("_sha"), F.length("blob").cast("bigint").alias("_size"))
     rows = attachments.join(found, "normalized_url", "left")
-    path = F.concat(F.substring("_sha", 1, 2), F.lit("/"), F.col("_sha"), F.regexp_extract("name", r"(\.[A-Za-z0-9]+)$", 1))
+    path = F.concat(F.substring("_sha", 1, 2), F.lit("/"), F.col("_sha"), F.lower(F.regexp_extract("name", r"(\.[A-Za-z0-9]+)$", 1)))
     return rows.withColumn("sha256", F.coalesce("sha256", "_sha")).withColumn("local_path", F.coalesce("local_path", path)).withColumn("size", F.coalesce("_size", "size")).drop("_sha", "_size")

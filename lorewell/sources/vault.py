@@ -44,6 +44,13 @@ def put(files: DataFrame, root: str) -> DataFrame:
     return named(files).drop("suffix").mapInPandas(apply, "path string, sha256 string, size bigint, local_path string, is_new boolean")
 
 
+def put_blobs(blobs: DataFrame, attachments: DataFrame, root: str) -> int:
+    """Stores the bytes of attachments that a tracker file holds (``normalized_url, blob``); how many were new."""
+    named_ = attachments.where("normalized_url IS NOT NULL").groupBy("normalized_url").agg(F.min("name").alias("name"))
+    files = blobs.where("blob IS NOT NULL").join(named_, "normalized_url").select(F.col("name").alias("path"), F.col("blob").alias("content"))
+    return put(files, root).agg(F.count_if("is_new")).first()[0]
+
+
 def read_files(spark: SparkSession, pattern: str) -> DataFrame:
     """``path, content`` of files; bytes are read only where they are used."""
     return spark.read.format("binaryFile").load(pattern).select("path", "content")

@@ -150,6 +150,29 @@ def test_subtypes(spark):
 # --- search
 
 
+def test_repeated_members_lose_nothing(spark):
+    schema = "rec_id bigint, message string, attachments array<string>, embeds array<string>"
+    twice = '{"id": "1", "id": "2", "amsreferences": ["x"], "properties": {"emotions": [{"key": "k", "users": [{"DisplayName": "A"}]}], "files": "[{\\"fileName\\": \\"a\\"}]"}}'
+    broken = '{"id": "1", "id": "2", "amsreferences": ["x"]'
+    rows = shapes.child_rows(spark.createDataFrame([(1, twice, None, None), (2, broken, None, None), (3, None, None, None)], schema)).collect()
+    assert sorted((r["rec_id"], r["child_kind"]) for r in rows) == [(1, "amsref"), (1, "file"), (1, "reaction")]
+
+
+def test_states_two_levels_deep(spark, tmp_path):
+    schema = "rec_id bigint, message string, attachments array<string>, embeds array<string>"
+    user, odd = '{"DisplayName": "A", "time": 5}', '{"time": 5}'
+    emotions = ", ".join(f'{{"key": "{k}", "users": [{u}]}}' for k, u in (("a", user), ("b", f"{user}, {odd}"), ("c", "null"), ("", user)))
+    embeds = ['{"fields": [{"name": "n", "value": 1}], "author": {"name": "w"}}', '{"fields": [{"odd": 1}], "title": "t"}', '{"title": "t", "fields": []}']
+    df = spark.createDataFrame([(1, f'{{"properties": {{"emotions": [{emotions}]}}}}', None, embeds)], schema)
+    shape = {(r["child_kind"], r["pos"]): r["shape"] for r in shapes.child_rows(df, parents=True).collect() if r["sub_pos"] == -1}
+    assert [shape["emotion", i] for i in range(4)] == ["emotion_used", "emotion_mixed", "emotion_unused", "emotion_other"]
+    assert [shape["embed", i] for i in range(3)] == ["embed_signed_fields", "embed_with_fields", "embed_titled"]
+    shapes.write_subtypes(df, str(tmp_path / "out"))
+    reactions, emotions = (spark.read.parquet(str(tmp_path / "out" / k)) for k in ("reaction", "emotion"))
+    assert reactions.join(emotions.select("rec_id", "pos", "key"), ["rec_id", "pos"]).where("display_name = 'A' AND time = 5").select("key").distinct().count() == 3
+    assert dict(reactions.dtypes)["time"] == "bigint"
+
+
 def matches(spark, q, texts, lexicon=None):
     rows = spark.createDataFrame(list(enumerate(texts)), "row_id int, text string")
     return {r["row_id"] for r in search.search(search.index(rows), q, lexicon).collect()}
