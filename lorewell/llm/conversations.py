@@ -257,6 +257,33 @@ def rebuild(messages: DataFrame, users: DataFrame, channels: DataFrame, counts=N
     return found, verdicts
 
 
+def tree_roots(turns_: DataFrame) -> DataFrame:
+    """(row_id, root): the first row of every row's tree. ``turns_``: channel_id, row_id, ts, parent_row.
+
+    A slab's scan meets parents before children, so within a slab each row has its root at once. What is left are links
+    from a slab's own roots to rows of earlier slabs: only these are connected, not all links."""
+    slab = F.floor(F.col("ts") / SLAB_MS).cast("bigint")
+    placed = turns_.select("channel_id", slab.alias("slab"), "ts", "row_id", F.coalesce("parent_row", "row_id").alias("parent")).repartition("channel_id", "slab").sortWithinPartitions("channel_id", "slab", "ts", "row_id")
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, known = None, {}
+        for batch in batches:
+            out = []
+            for channel, own_slab, ts, row, parent in zip(*(batch[c].tolist() for c in batch.columns)):
+                if (channel, own_slab) != at:
+                    at, known = (channel, own_slab), {}
+                root = known[row] = known.get(parent, (ts, row))
+                out.append((row, *root, parent))
+            yield pd.DataFrame(out, columns=["row_id", "root_ts", "root_row", "parent"])
+
+    local = written(placed.mapInPandas(apply, "row_id bigint, root_ts bigint, root_row bigint, parent bigint"), "roots")
+    # a row that is its slab's root, but has a parent elsewhere
+    outward = local.where("row_id = root_row AND parent <> row_id").select(F.struct(F.col("root_ts").alias("ts"), F.col("root_row").alias("row_id")).alias("a"), F.col("parent").alias("p"))
+    edges = outward.join(local.select(F.col("row_id").alias("p"), F.struct(F.col("root_ts").alias("ts"), F.col("root_row").alias("row_id")).alias("b")), "p").select("a", "b")
+    joined = components(edges).select(F.col("node.row_id").alias("root_row"), F.col("root.row_id").alias("root"))
+    return local.join(joined, "root_row", "left").select("row_id", F.coalesce("root", "root_row").alias("root"))
+
+
 def turns(messages: DataFrame, users: DataFrame, people: DataFrame, channels: DataFrame, replies: DataFrame | None = None, first_only: bool = True) -> DataFrame:
     """The turns of all conversations: channel_id, conversation_row (the tree's first row), row_id, parent_row, role, ts.
 
@@ -277,8 +304,7 @@ def turns(messages: DataFrame, users: DataFrame, people: DataFrame, channels: Da
         told = told.join(target, ["target", "channel_id"]).where("p.t <= ts AND p.r <> row_id").groupBy("row_id").agg(F.max("p").alias("p"))
         kept = kept.join(told, "row_id", "left").withColumn("parent_ts", F.coalesce("p.t", "parent_ts")).withColumn("parent_row", F.coalesce("p.r", "parent_row")).drop("p")
     kept = written(kept, "turns")
-    edges = kept.where("parent_row IS NOT NULL").select(F.struct("ts", "row_id").alias("a"), F.struct(F.col("parent_ts").alias("ts"), F.col("parent_row").alias("row_id")).alias("b"))
-    roots = components(edges).select(F.col("node.row_id").alias("row_id"), F.col("root.row_id").alias("root"))
+    roots = tree_roots(kept)
     owner = users.select(F.col("id").alias("sender_id"), "person_id").join(people.where("is_self = 1").select("person_id"), "person_id", "left_semi").select("sender_id", F.lit(True).alias("own"))
     out = kept.join(roots, "row_id", "left").join(owner, "sender_id", "left")
     return out.select("channel_id", F.coalesce("root", "row_id").alias("conversation_row"), "row_id", "parent_row", F.when(F.col("own"), "owner").otherwise("other").alias("role"), "ts")

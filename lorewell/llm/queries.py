@@ -85,6 +85,18 @@ def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.turns(messages, users, people, channels, replies)
 
 
+def p5_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explicit replies between turns, and whether both stand in one tree with the reply's parent as told."""
+    names = ("messages", "users", "people", "channels", "message_replied_to")
+    messages, users, people, channels, replies = (table(spark, sf_dir, n) for n in names)
+    rows = written(conversations.turns(messages, users, people, channels, replies, first_only=False), "turns")
+    ids = messages.select("message_id", "row_id").join(rows.select("row_id", "channel_id", "ts", "conversation_row", "parent_row"), "row_id")
+    target = ids.groupBy(F.col("message_id").alias("replied_to_id"), "channel_id").agg(F.min(F.struct("ts", "row_id")).alias("p"))
+    told = ids.join(replies, "message_id").join(target, ["replied_to_id", "channel_id"]).where("p.ts <= ts AND p.row_id <> row_id")
+    parents = rows.select(F.col("row_id").alias("pr"), F.col("conversation_row").alias("pc"))
+    return told.join(parents, F.col("p.row_id") == F.col("pr")).select("row_id", ((F.col("parent_row") == F.col("pr")) & (F.col("conversation_row") == F.col("pc"))).alias("kept"))
+
+
 def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = table(spark, sf_dir, "messages").select("row_id", F.col("platform").alias("host"), "text")
     counts = spark.sparkContext.broadcast(garbled.fit_letters(messages.select("text")))
@@ -169,7 +181,7 @@ def p9_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("wrong").cast("bigint").alias("wrong"), F.sum("crossing").cast("bigint").alias("crossing"), F.sum("lost").cast("bigint").alias("lost"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_matches": p3_matches, "p3_people": p3_people, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_bounds": p7_bounds, "p7_faults": p7_faults, "p8_draws": p8_draws, "p8_shares": p8_shares, "p8_faults": p8_faults, "p9_found": p9_found, "p9_faults": p9_faults}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_matches": p3_matches, "p3_people": p3_people, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns, "p5_told": p5_told, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_bounds": p7_bounds, "p7_faults": p7_faults, "p8_draws": p8_draws, "p8_shares": p8_shares, "p8_faults": p8_faults, "p9_found": p9_found, "p9_faults": p9_faults}
 SQL: dict[str, str] = {
     # \\x{...} spelt out for RE2: white space, controls, format characters and blanks that are letters or marks by class
     "p5_found": r"""
@@ -180,6 +192,15 @@ WITH m AS (SELECT channel_id, sender_id,
 s AS (SELECT channel_id, bool_or(fault) AS broken, count(DISTINCT CASE WHEN content THEN sender_id END) AS speakers FROM m GROUP BY 1)
 SELECT channel_id FROM s WHERE broken OR speakers < 2
 UNION SELECT id FROM channels WHERE id NOT IN (SELECT channel_id FROM s)""",
+    "p5_told": r"""
+WITH m AS (SELECT row_id, message_id, channel_id, sender_id, timestamp AS ts,
+  sender_id IS NULL OR sender_id NOT IN (SELECT id FROM users) OR timestamp IS NULL OR timestamp < 1577836800000 OR timestamp >= 1798761600000 AS fault,
+  coalesce(is_unsent, 0) = 0 AND coalesce(regexp_matches(text, '[^\s\pZ\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{2800}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0100}-\x{E01EF}]'), false) AS content
+  FROM messages WHERE channel_id IS NOT NULL),
+s AS (SELECT channel_id FROM m GROUP BY 1 HAVING NOT bool_or(fault) AND count(DISTINCT CASE WHEN content THEN sender_id END) > 1),
+t AS (SELECT * FROM m WHERE content AND channel_id IN (SELECT channel_id FROM s)),
+f AS (SELECT message_id AS replied_to_id, channel_id, row_id AS pr, ts AS pt FROM t WHERE message_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY message_id, channel_id ORDER BY ts, row_id) = 1)
+SELECT row_id, true AS kept FROM t JOIN message_replied_to r USING (message_id) JOIN f USING (replied_to_id, channel_id) WHERE pt <= ts AND pr <> row_id""",
     "p7_faults": """
 SELECT spec_name, CAST(capacity_tokens AS INTEGER) AS capacity_tokens, (SELECT count(*) FROM documents WHERE text <> '') AS documents,
   CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS cut_without_need, CAST(0 AS BIGINT) AS gaps FROM pack_specs""",

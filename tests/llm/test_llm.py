@@ -313,6 +313,18 @@ def test_old_messages_are_answered(spark):
     assert sum(r["ts"] - r["parent_ts"] > 86_400_000 and r["parent_row"] != r["row_id"] - 1 for r in got.values() if r["parent_row"] is not None) > 20
 
 
+def test_roots_of_trees(spark):
+    rng = random.Random(8)
+    week, rows, parent = conversations.SLAB_MS, [], {}
+    for r in range(400):
+        parent[r] = rng.choice([None, *range(max(0, r - 40), r)]) if r else None
+        rows.append((1, r, 5 * week + r * week // 30, parent[r]))
+    top = lambda r: r if parent[r] is None else top(parent[r])
+    frame = spark.createDataFrame(rows, "channel_id bigint, row_id bigint, ts bigint, parent_row bigint")
+    assert {r["row_id"]: r["root"] for r in conversations.tree_roots(frame).collect()} == {r: top(r) for r in range(400)}
+    assert conversations.tree_roots(frame.limit(0)).count() == 0
+
+
 def test_conversations(spark):
     users = spark.createDataFrame([(1, "Jana Nováková", None, None), (2, "Petr Malý", None, 1), (3, "Eva", None, None)], "id bigint, name string, display_name string, person_id bigint")
     channels = spark.createDataFrame([(c,) for c in (10, 11, 12, 13, 14, 15, 16)], "id bigint")
