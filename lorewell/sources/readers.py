@@ -60,7 +60,7 @@ class TarSource(DataSource):
 
 
 #: Strings, brackets and what parts members: all a scan for places needs.
-_MARKS = rb'"(?:[^"\\]|\\.)*"|[\[\]{},:]'
+_MARKS = rb'"[^"\\]*(?:\\.[^"\\]*)*"|[\[\]{},:]'
 
 
 def top_members(data, begin: int = 0, end: int | None = None) -> Iterator[tuple[str, int, int]]:
