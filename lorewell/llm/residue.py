@@ -22,6 +22,7 @@ alike; a null host is a host of its own.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -34,16 +35,6 @@ from lorewell.session import written
 
 OTHERS = 3
 
-#: SQL regex: what a record must have to be looked at closely; each part is a superset of the evidence below.
-CANDIDATE = (
-    r"(?i)[{}]|%[\p{L}(=]|\[\[|\[insert|undefined|\bnull\b|\bnan\b|\bnone\b|object object|script|\bjs\b|cookie|skript|скрипт|スクリプト|脚本|스크립트"
-    r"|\b[45]\d\d\b|error|fehler|erreur|chyba|błąd|ошибка|traceback|exception|lorem|ipsum|dolor|amet|elementum|ornare|tincid|dapib|curat|sodal|vexil|felis"
-    r"|scripting|oops|owner may|isn.t available|todo\b|tbd\b|xxx|placeholder|platzhalter|sample|dummy|goes here|test\W+test|asdf|preview|could not|unavailable|gateway|checking your|not found|does not exist|forbidden"
-    r"|<[\p{L}_.]{2,40}>|__\w+__|@@|\*\||\p{L}\s+[,!.](?:\s|$)|:\s*$|\S\s{2,}\S|^\s+(?:has|sent)|session has|occurred|went wrong|serveru|(?:\btext\W+){3}|texto?\b.{0,12}(?:aqui|hier|here|ici)|zde bude|sem vlo|hier steht|insira|введите|здесь будет|wpisz|テキスト|请输入|此处|텍스트"
-    r"|hoppla|jejda|whoops|deleted|too many|did not answer|antwortet|refus|istnieje|odpowiada|mimo provoz|p[rř]esunut"
-    r"|страниц|сервер|stránk|seite|página|strona|introuvable|indisponible|заполн|doplnit|ページ|页面|頁面|페이지"
-)
-
 _HTML = "a|abbr|address|article|aside|at|audio|b|blockquote|body|br|button|caption|center|cite|code|col|dd|del|details|dfn|div|dl|dt|em|embed|fieldset|figure|font|footer|form|h[1-6r]|head|header|html|i|iframe|img|input|ins|kbd|label|legend|li|main|mark|meta|nav|noscript|object|ol|option|p|pre|q|s|samp|script|section|select|small|source|span|ss|strike|strong|style|sub|summary|sup|svg|table|tbody|td|textarea|tfoot|th|thead|tr|tt|u|ul|uriobject|var|video"
 _TAG = regex.compile(rf"</?(?i:{_HTML})(?:\s[^<>%]{{0,400}})?/?>|<!--.*?-->|<!doctype[^<>]*>")
 _LEAD = regex.compile(r"(?i)^\W*\[(?:preview|embed|link)\]\s*")
@@ -53,6 +44,12 @@ _SLOT = regex.compile(
     r"|\[insert [\w. ]{1,40}\]|<[^\W\d][\w.]{1,40}>|<insert [\w. ]{1,40}>|(?<![\w{$`])\{[^\W\d][\w.]{1,40}\}(?![\w}])|#\{[\w. ]{1,40}\}|\*\|[\w.]{2,40}\|\*|__[a-z][\w.]{0,38}[a-z]__|@@[\w.]{2,40}@@"
 )
 _HOLLOW = regex.compile(r"\[object object\]|\(null\)|(?<![\w.])(?:undefined|null|nan|none)(?![\w(])")
+_WORD = re.compile(r"[^\W\d_]+")
+# what _SLOT, _HOLLOW, _GAP and _SCRIPT can't match without
+_SLOT_MARK = re.compile(r"[{%<\[]|\*\||__|@@")
+_HOLLOW_WORDS = ("null", "nan", "none", "undefined", "[object object]")
+_GAP_MARK = re.compile(r"\s[,!.\s]|:|^has joined|^sent you|^\s")
+_SCRIPT_WORDS = ("script", "js", "cookie", "skript", "скрипт", "сценари", "スクリプト", "クッキー", "脚本", "스크립트", "쿠키", "checking your browser")
 _GAP = regex.compile(r"\p{L}\s+[,!.](?:\s|$)|:\s*$|\S\s{2,}\S|^\s+(?:has|sent)|^(?:has joined|sent you)|: (?:starts|$)")
 _FIRM_HOLLOW = regex.compile(r"\[object object\]|\(null\)")
 _QUOTED = regex.compile(r"`[^`]*`")
@@ -95,24 +92,42 @@ _SCRIPT = regex.compile(
 _NOT_NOTICE = regex.compile(r"\?|\bmy (?:java ?script|scripts?)\b|\bi (?:can|had|have to)\b|\blol\b")
 
 
+class _Folds(dict):
+    """What a character becomes: nothing where it is an accent or invisible."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = "" if unicodedata.combining(c) or unicodedata.category(c) == "Cf" else {"ł": "l", "đ": "d"}.get(c, c)
+        return out
+
+
+_FOLDS = _Folds()
+
+
 def folded(text: str) -> str:
     """Case, accents, width and invisible characters taken off; white space as single spaces."""
-    t = unicodedata.normalize("NFKD", text).casefold()
-    t = "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    return " ".join(t.replace("ł", "l").replace("đ", "d").split())
+    if not text.isascii():
+        return " ".join(unicodedata.normalize("NFKD", text).casefold().translate(_FOLDS).split())
+    return " ".join(text.lower().split())
 
 
 def evidence(text: str) -> tuple[str | None, str | None, bool]:
-    """(kind, frame, firm): ``frame`` is set where a text has slots or hollow words; firm: it needs no other proof."""
-    bare = _LEAD.sub("", _URL.sub(" ", _TAG.sub(" ", text)).strip())
+    """(kind, frame, firm): ``frame`` is set where a text has slots or hollow words; firm: it needs no other proof.
+
+    Every text comes here, so what a pattern can't match without is looked for first; that changes no result.
+    """
+    bare = _TAG.sub(" ", text) if "<" in text else text
+    bare = (_URL.sub(" ", bare) if "http" in bare else bare).strip()
+    if "[" in bare:
+        bare = _LEAD.sub("", bare)
     if "&" in bare:
         bare = html.unescape(bare)
     t = folded(bare)
     if not t:
         return None, None, False
-    open_ = _QUOTED.sub(" ", t)
-    slots = _SLOT.findall(open_)
-    hollow = _HOLLOW.findall(open_)
+    open_ = _QUOTED.sub(" ", t) if "`" in t else t
+    slots = _SLOT.findall(open_) if _SLOT_MARK.search(open_) else []
+    hollow = _HOLLOW.findall(open_) if any(w in open_ for w in _HOLLOW_WORDS) else []
     frame = None
     if slots or hollow:
         frame = regex.sub(r"\d+", "0", _HOLLOW.sub("¤", _SLOT.sub("¤", open_))).strip(" .!?,")
@@ -121,15 +136,17 @@ def evidence(text: str) -> tuple[str | None, str | None, bool]:
             return "placeholder", frame, True
         if about:
             frame = None
-    elif _GAP.search(bare):  # a slot may have been filled with nothing
+    elif _GAP_MARK.search(bare) and _GAP.search(bare):  # a slot may have been filled with nothing
         frame = regex.sub(r"\d+", "0", t).strip(" .!?,")
-    words = regex.findall(r"\p{L}+", t)
+    words = _WORD.findall(t)
+    if not "".join(words).isalpha():  # numerals that are no digits
+        words = regex.findall(r"\p{L}+", t)
     latin = sum(w[:5] in _LOREM_HEADS for w in words)
     if (len(words) >= 4 and latin >= 0.7 * len(words) and sum(len(w) >= 5 and w[:5] in _LOREM_HEADS for w in words) >= 2) or _FILLER.match(t):
         return "filler", frame, True
     if _ERROR.match(t) and not _TALK.search(t):
         return "error", frame, True
-    if _SCRIPT.search(t) and not _NOT_NOTICE.search(t):
+    if any(w in t for w in _SCRIPT_WORDS) and _SCRIPT.search(t) and not _NOT_NOTICE.search(t):
         return "script", frame, True
     return ("placeholder" if frame else None), frame, False
 
@@ -152,9 +169,9 @@ def recurrent(rows: DataFrame) -> DataFrame:
     return counted.where(F.col("others") >= OTHERS).select("host", "form", F.lit(True).alias("boiler"))
 
 
-def residuals(rows: DataFrame, every: DataFrame | None = None) -> DataFrame:
-    """(row_id, host, residual): the text without lines that are recurrent boilerplate at its host, counted over ``every``."""
-    boiler, placed = recurrent(rows if every is None else every), _lines(rows)
+def residuals(rows: DataFrame) -> DataFrame:
+    """(row_id, host, residual): the text without lines that are recurrent boilerplate at its host."""
+    boiler, placed = recurrent(rows), _lines(rows)
     kept = placed.join(boiler, (placed["host"].eqNullSafe(boiler["host"])) & (placed["form"] == boiler["form"]), "left").select(placed["row_id"], "pos", "line", F.coalesce("boiler", F.lit(False)).alias("boiler"))
     left = kept.groupBy("row_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("boiler"), F.struct("pos", "line")))), lambda x: x["line"]), "\n").alias("residual"),
@@ -177,9 +194,11 @@ def judged(rows: DataFrame, counts) -> DataFrame:
             out.append(memo[t])
         return pd.DataFrame(out, columns=["kind", "frame", "firm"])
 
-    # what a record of several lines ends with is known when its boilerplate is off
-    near = written(rows.where(F.col("text").rlike(CANDIDATE) | F.col("text").contains("\n")).select("row_id", "host", "text"), "near")
-    seen = residuals(near, rows).where(F.col("residual").isNotNull()).select("row_id", look("residual").alias("e")).select("row_id", "e.kind", "e.frame", "e.firm").where("kind IS NOT NULL")
+    # every record is looked at; only those of several lines can have boilerplate
+    several = F.col("text").contains("\n")
+    whole = rows.where(~several).select("row_id", F.col("text").alias("residual"))
+    left = residuals(written(rows.where(several).select("row_id", "host", "text"), "several")).select("row_id", "residual")
+    seen = written(whole.unionByName(left).select("row_id", look("residual").alias("e")).select("row_id", "e.kind", "e.frame", "e.firm").where("kind IS NOT NULL"), "seen")
     firm = seen.where("firm").select("row_id", "kind")
     # slots may be filled with nothing: frames are compared without their slots
     seen = seen.withColumn("frame", F.trim(F.regexp_replace(F.regexp_replace("frame", "¤", " "), r"\s+", " "))).withColumn("frame", F.regexp_replace("frame", r"\s+([,.!?:])", "$1"))

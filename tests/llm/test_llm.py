@@ -392,6 +392,13 @@ def test_boilerplate_is_counted_over_all_records(spark):
     assert [tuple(r) for r in residue.judged(frame, counts).collect()] == [(10, "filler")]
 
 
+def test_every_record_is_looked_at(spark):
+    texts = ["Can we move __event.title__ forward?", "<% name %>, your seat is kept", "Hi ｛name｝", "<name1> has joined", "Blindtext", "クッキーを有効にしてください".replace("クッキー", "脚本"), "Zde\u00a0bude\u00a0text", "we met at the pier"]
+    frame = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "row_id bigint, host string, text string")
+    got = {r["row_id"] for r in residue.judged(frame, spark.sparkContext.broadcast(model())).collect()}
+    assert got == {i for i, t in enumerate(texts) if residue.evidence(t)[2]} == set(range(7))
+
+
 # --- p7, p8
 
 
