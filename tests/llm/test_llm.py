@@ -148,6 +148,31 @@ def test_long_handles_are_cut_whole(spark):
     assert wanted_pairs(spark, rows) == {(1, 2), (3, 4)}
 
 
+def test_like_names_meet(spark):
+    rows = [(1, "a", "li", "kim", ""), (2, "b", "li", "kim", ""), (3, "c", "", "", "kimli"), (4, "a", "nagy", "ajna", ""), (5, "b", "nagy", "jana", ""), (6, "c", "", "", "jnagy"), (7, "a", "novak", "eva", ""), (8, "b", "nowak", "eva", ""), (9, "a", "", "", "krugudochaby"), (10, "b", "krugudocha", "byron", ""), (11, "a", "", "", "eva.nwoak")]
+    rng = random.Random(5)
+    for i in range(100, 260, 4):
+        family, first = ("".join(rng.choice(["ku", "ra", "mi", "zo", "te"]) for _ in range(rng.randint(2, 5))) for _ in "ab")
+        wrong = lambda w, at: w[:at] + rng.choice(["", "x", w[at + 1 : at + 2] + w[at : at + 1], w[at : at + 1] + "q"]) + w[at + (2 if w[at + 1 :] and rng.random() < 0.3 else 1) :]
+        rows += [(i, "a", family, first, ""), (i + 1, "b", wrong(wrong(family, 1), len(family) // 2), first, ""), (i + 2, "c", "", "", wrong(family, rng.randrange(len(family))) + first[0]), (i + 3, "d", "", "", first + wrong(family, 2))]
+    got = wanted_pairs(spark, rows)
+    assert {(1, 2), (1, 3), (2, 3), (4, 5), (5, 6), (7, 8), (8, 11), (9, 10)} <= got
+    side = lambda r: (None, [{"family": r[2], "given": r[3]}] if r[2] else [], r[3], r[4], "")
+    for k, a in enumerate(rows):
+        for b in rows[k + 1 :]:
+            once = bool(a[2]) == bool(b[2]) or entities._less(a[2] + b[2], 1) & entities._stretches((a[4] + b[4]).replace(".", ""))
+            v = entities.vector(side(a), side(b))
+            if a[1] != b[1] and round(v[0] * entities.GRID) >= entities.LEAST and v[1] > 0.5 and once:
+                assert (a[0], b[0]) in got, (a, b, v)
+
+
+def test_edits_by_bits_and_by_cells():
+    rng = random.Random(3)
+    for _ in range(5000):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(1, 11))) for _ in "ab")
+        assert entities._alike(a, b) == entities._alike_cells(a, b)
+
+
 def test_given_names():
     assert entities._given_alike("eli", "eliska") == 0.8
     assert entities._given_alike("e", "eliska") == 0.7
