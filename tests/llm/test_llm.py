@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -173,6 +174,30 @@ def test_edits_by_bits_and_by_cells():
         assert entities._alike(a, b) == entities._alike_cells(a, b)
 
 
+def test_many_pairs_side_by_side():
+    rng = random.Random(4)
+    word = lambda most, letters="abcd": "".join(rng.choice(letters) for _ in range(rng.randint(0, most)))
+    pairs = [(word(12), word(12, "abcd�" if i % 9 == 0 else "abcd")) for i in range(4000)] + [("ab" * 40, "ab" * 39)]
+    assert entities._alike_all(pairs) == [entities._alike(*p) for p in pairs] and entities._alike_all([]) == []
+    held = [p for p in pairs if p[1]]
+    assert entities._placed_all(held) == [entities._placed(*p) for p in held]
+    sides = [(rng.choice([None, "p1", "p2"]), [{"family": word(9) or "a", "given": word(5)} for _ in range(rng.randint(0, 2))], word(5), word(14, "abcd._"), rng.choice(["", "12"])) for _ in range(300)]
+    told = [(p or "", n := [(x["family"], x["given"]) for x in names], g, h, d, entities._foreign(n, h)) for p, names, g, h, d in sides]
+    assert entities.vectors(list(zip(told, told[1:]))) == [entities.vector(a, b) for a, b in zip(sides, sides[1:])]
+
+
+def test_short_tables_are_spread_and_marked(spark):
+    words = [f"w{i}" for i in range(3000)] + ["no�ak"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert entities._spread(rows, "w").distinct().select(F.spark_partition_id()).distinct().count() == parts
+    bits = entities._marks(rows)
+    has = lambda w: bits[(k := crc32(w.encode()) % entities.MARKS) >> 3] >> (k & 7) & 1
+    assert len(bits) == entities.MARKS >> 3 and all(map(has, words))
+    assert sum(has(f"x{i}") for i in range(3000)) < 10
+    assert not any(entities._marks(rows.limit(0)))
+
+
 def test_given_names():
     assert entities._given_alike("eli", "eliska") == 0.8
     assert entities._given_alike("e", "eliska") == 0.7
